@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixture, packing, pii, quality, shards, simhash, urls, warc
+from . import exact, mixture, packing, pii, quality, shards, simhash, suffixes, urls, warc
 from .common import scratch_path, table
 
 #: The surrogates' key in the query; a deployment passes its own secret.
@@ -29,6 +29,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixed(table(spark, sf_dir, "documents")).drop("row_key")
 
@@ -50,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_warc, op3_shards, op4_quality, op6_mixture, op7_pii, op8_urls, op9_exact, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_warc, op3_shards, op4_quality, op5_suffixes, op6_mixture, op7_pii, op8_urls, op9_exact, op10_packing)}
 
 _SPACE = r"[\x20\x09-\x0D]"
 _WORDS = rf"string_split_regex(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_SPACE}+')"
