@@ -28,8 +28,10 @@ CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 GRID = 8
-#: Distinct words whose ids a worker keeps at most; beyond that it starts afresh.
-CACHED_WORDS = 400_000
+#: Distinct words in each of the two generations of a worker's cache.
+CACHED_WORDS = 600_000
+#: A byte that is always a token of its own; words that hold it are encoded singly.
+MARK = b"\x7f"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -41,12 +43,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 class WordEncoder:
     """Ids of a text as little-endian bytes. White space always parts tokens in this vocabulary, so the ids of a text are
-    those of its ASCII-space-separated words in a row, and each distinct word is encoded once."""
+    those of its ASCII-space-separated words in a row, and each distinct word is encoded once while it stays cached."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        (self.mark,) = self._ids(MARK.decode())
 
     @classmethod
     def shared(cls, path: str) -> WordEncoder:
@@ -56,16 +59,29 @@ class WordEncoder:
             kept[path] = cls(path)
         return kept[path]
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode many words as one text with marks between them, which costs far less than one call for each."""
+        plain = [w for w in words if MARK not in w]
+        ids = self._ids((b" " + MARK + b" ").join(plain).decode())
+        cuts = np.flatnonzero(ids == self.mark).tolist()
+        if len(cuts) == len(plain) - 1:
+            data = ids.tobytes()
+            self.known.update((w, data[4 * a : 4 * b]) for w, a, b in zip(plain, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True))
+        self.known.update((w, self._ids(w.decode()).tobytes()) for w in words if w not in self.known)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [text.split() for text in texts]
-        fresh = list(set().union(*split) - self.known.keys()) if split else []
-        if len(self.known) + len(fresh) > CACHED_WORDS:
-            self.known.clear()
-            fresh = list(set().union(*split))
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            coded = self.tokenizer.encode_batch([x.decode() for x in some], add_special_tokens=False)
-            self.known.update((word, np.asarray(x.ids, "<u4").tobytes()) for word, x in zip(some, coded, strict=True))
+        if len(self.known) > CACHED_WORDS:  # words that still occur move back from the older generation
+            self.known, self.older = {}, self.known
+        fresh = set().union(*split) - self.known.keys()
+        again = fresh & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        new = list(fresh - again)
+        for at in range(0, len(new), 20_000):
+            self._learn(new[at : at + 20_000])
         known = self.known
         return [b"".join([known[word] for word in words]) for words in split]
 
