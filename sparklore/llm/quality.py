@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import SPACE_CHARS, SPACE_CLASS, checkpointed
 
 WINDOW = 8
+#: Hosts up to this many are broadcast (some 50 bytes each); more are joined by shuffling.
+BROADCAST_HOSTS = 100_000
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -35,23 +37,30 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW + 1, F.lit(0)).otherwise(F.get(F.transform(F.array(spans), covered), F.lit(0)))
 
 
+def _once(docs: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column behind a one-row generator: later filters and projections refer to it and never compute it again."""
+    return docs.select("*", F.explode(F.array(value)).alias(name))
+
+
 def features(docs: DataFrame) -> DataFrame:
     """``docs`` with the counts of FEATURES, ``base_failed`` and ``strict_failed`` added (as columns with a leading _)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(text, F.lit(SPACE_CHARS))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
-    staged = docs.withColumn("_words", words).withColumn("_lines", lines)
-    counted = (
-        staged.withColumn("_n_words", F.size("_words").cast("long"))
-        .withColumn("_word_chars", F.char_length(F.regexp_replace(text, SPACE_CLASS + "+", "")).cast("long"))
-        .withColumn("_n_symbols", F.char_length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"))
-        .withColumn("_n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .withColumn("_n_repeat_words", _repeat_words(F.col("_words")).cast("long"))
+    parts = _once(docs, "_parts", F.struct(words.alias("words"), lines.alias("lines")))
+    counts = F.struct(
+        F.size("_parts.words").cast("long").alias("n_words"),
+        F.char_length(F.regexp_replace(text, SPACE_CLASS + "+", "")).cast("long").alias("word_chars"),
+        F.char_length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.size("_parts.lines").cast("long").alias("n_lines"),
+        (F.size("_parts.lines") - F.size(F.array_distinct("_parts.lines"))).cast("long").alias("n_dup_lines"),
+        _repeat_words(F.col("_parts.words")).cast("long").alias("n_repeat_words"),
     )
+    counted = _once(parts, "_counts", counts).select(*docs.columns, *[F.col(f"_counts.{x}").alias(f"_{x}") for x in (*FEATURES, "n_lines")])
     base = (F.col("_n_words") < 20) | (100 * F.col("_n_repeat_words") > 30 * F.col("_n_words"))
-    strict = (10 * F.col("_n_symbols") > F.col("_n_words")) | (F.col("_word_chars") > 15 * F.col("_n_words")) | (3 * F.col("_n_dup_lines") > F.size("_lines"))
-    return counted.withColumn("_base_failed", base).withColumn("_strict_failed", strict).drop("_words", "_lines")
+    strict = (10 * F.col("_n_symbols") > F.col("_n_words")) | (F.col("_word_chars") > 15 * F.col("_n_words")) | (3 * F.col("_n_dup_lines") > F.col("_n_lines"))
+    return counted.withColumn("_base_failed", base).withColumn("_strict_failed", strict).drop("_n_lines")
 
 
 def host_verdicts(measured: DataFrame, max_rate: float = 0.5) -> DataFrame:
@@ -71,7 +80,9 @@ def host_verdicts(measured: DataFrame, max_rate: float = 0.5) -> DataFrame:
 
 def judged(docs: DataFrame, measured: DataFrame, max_rate: float = 0.5) -> DataFrame:
     """``docs`` with features (computed here) joined with the verdicts of the hosts in ``measured``; adds ``_kept``."""
-    hosts = host_verdicts(measured, max_rate).select("_host", "host_rejected")
+    hosts = checkpointed(host_verdicts(measured, max_rate).select("_host", "host_rejected"))
+    if hosts.count() <= BROADCAST_HOSTS:
+        hosts = F.broadcast(hosts)
     joined = docs.join(hosts, F.col("source").eqNullSafe(F.col("_host")), "left")
     return joined.withColumn("_kept", ~F.col("_base_failed") & ~(F.col("host_rejected") & F.col("_strict_failed"))).drop("_host", "host_rejected")
 
