@@ -10,6 +10,8 @@ their length and look up their place. Rows that repeat a doc_id are packed each
 
 from __future__ import annotations
 
+import itertools
+import re
 import sys
 import zlib
 from bisect import bisect_left, insort
@@ -28,10 +30,15 @@ CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 GRID = 8
+#: Shares of the fitted counts that are tried; the rest of the pieces fills gaps by best fit.
+SHARES = (1.0, 0.5, 0.25)
 #: Distinct words in each of the two generations of a worker's cache.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 450_000
 #: A byte that is always a token of its own; words that hold it are encoded singly.
 MARK = b"\x7f"
+PUNCTUATION = b".,;:!?|"
+#: ASCII letters and lower-case Latin-1 letters, then punctuation.
+PLAIN_WORD = re.compile(rb"(?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf])+[.,;:!?|]*")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -46,10 +53,16 @@ class WordEncoder:
     those of its ASCII-space-separated words in a row, and each distinct word is encoded once while it stays cached."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
-        (self.mark,) = self._ids(MARK.decode())
+        # lower-case Latin letters and lone punctuation pass the normaliser and the splitting pattern unchanged
+        self.letters = Tokenizer(self.tokenizer.model)  # one model in memory for both
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        (self.mark,) = self._ids(self.tokenizer, MARK.decode())
+        vocabulary = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
 
     @classmethod
     def shared(cls, path: str) -> WordEncoder:
@@ -59,35 +72,56 @@ class WordEncoder:
             kept[path] = cls(path)
         return kept[path]
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    @staticmethod
+    def _ids(tokenizer, text: str) -> np.ndarray:
+        return np.asarray(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, words: list[bytes]) -> None:
-        """Encode many words as one text with marks between them, which costs far less than one call for each."""
-        plain = [w for w in words if MARK not in w]
-        ids = self._ids((b" " + MARK + b" ").join(plain).decode())
-        cuts = np.flatnonzero(ids == self.mark).tolist()
-        if len(cuts) == len(plain) - 1:
-            data = ids.tobytes()
-            self.known.update((w, data[4 * a : 4 * b]) for w, a, b in zip(plain, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True))
-        self.known.update((w, self._ids(w.decode()).tobytes()) for w in words if w not in self.known)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Encode many words as one text, which costs far less than one call for each.
+
+        Words of Latin letters and closing punctuation are one or two tokens' runs, each closed by a token that ends a
+        word; other words are told apart by marks.
+        """
+        plain, parts, counts, others = [], [], [], []
+        for word in words:
+            if PLAIN_WORD.fullmatch(word):
+                core = word.rstrip(PUNCTUATION)
+                plain.append(word)
+                parts.append(core if len(core) == len(word) else core + b" " + word[len(core) :])
+                counts.append(1 + (len(core) < len(word)))
+            elif MARK not in word:
+                others.append(word)
+        if plain:
+            ids = self._ids(self.letters, b" ".join(parts).lower().decode())
+            closed = np.flatnonzero(self.closing[ids]) + 1
+            last = np.cumsum(counts)
+            if len(closed) == last[-1]:
+                self._keep(plain, ids, np.r_[0, closed[last[:-1] - 1]], closed[last - 1])
+        if others:
+            ids = self._ids(self.tokenizer, (b" " + MARK + b" ").join(others).decode())
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) == len(others) - 1:
+                self._keep(others, ids, np.r_[0, cuts + 1], np.r_[cuts, len(ids)])
+        self.known.update((w, self._ids(self.tokenizer, w.decode()).tobytes()) for w in words if w not in self.known)
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        data = ids.tobytes()
+        self.known.update((w, data[a:b]) for w, a, b in zip(words, (4 * begin).tolist(), (4 * end).tolist(), strict=True))
+
+    def encode(self, texts: list[bytes], cached_words: int = CACHED_WORDS) -> list[bytes]:
         split = [text.split() for text in texts]
-        if len(self.known) > CACHED_WORDS:  # words that still occur move back from the older generation
+        if len(self.known) > cached_words:  # words that still occur move back from the older generation
             self.known, self.older = {}, self.known
-        fresh = set().union(*split) - self.known.keys()
-        again = fresh & self.older.keys()
-        self.known.update((w, self.older[w]) for w in again)
-        new = list(fresh - again)
+        fresh = set(itertools.filterfalse(self.known.__contains__, itertools.chain.from_iterable(split)))
+        self.known.update((w, self.older[w]) for w in fresh if w in self.older)
+        new = [w for w in fresh if w not in self.known]
         for at in range(0, len(new), 20_000):
             self._learn(new[at : at + 20_000])
-        known = self.known
-        return [b"".join([known[word] for word in words]) for words in split]
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, cached_words: int = CACHED_WORDS) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece of every document. ``cached_words`` trades a worker's memory for speed."""
     where = path or tokenizer_path()
     closing = np.array([END_ID], "<u4").tobytes()
 
@@ -100,7 +134,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
             for a in range(0, len(texts), 500):
                 rows = []
-                for doc_id, coded in zip(ids[a : a + 500], encoder.encode([x or b"" for x in texts[a : a + 500]]), strict=True):
+                for doc_id, coded in zip(ids[a : a + 500], encoder.encode([x or b"" for x in texts[a : a + 500]], cached_words), strict=True):
                     coded += closing
                     for k, at in enumerate(range(0, len(coded), 4 * capacity)):
                         part = coded[at : at + 4 * capacity]
@@ -163,7 +197,26 @@ def nnls(columns: np.ndarray, target: np.ndarray, rounds: int | None = None) ->
     return x
 
 
+def fit(histogram: dict[int, int], capacity: int = CAPACITY, grid: int = GRID) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grid lengths present, patterns of them, and the patterns' fitted repeat counts."""
+    counts: dict[int, int] = defaultdict(int)
+    for length, count in histogram.items():
+        counts[-(-length // grid)] += count
+    total = capacity // grid
+    present = np.array(sorted(p for p, k in counts.items() if p < total and k), np.int64)
+    ways = patterns(present, total) if len(present) else np.empty((0, 3), np.int64)
+    target = np.array([counts[p] for p in present.tolist()], float)
+    return present, ways, nnls(ways, target) if len(ways) else np.empty(0)
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, grid: int = GRID) -> list[tuple[int, int, int, int, int]]:
+    """The places (see ``fill``) for the share of the fitted counts that needs the fewest sequences, the largest if equal."""
+    fitted = fit(histogram, capacity, grid)
+    tried = [fill(histogram, fitted, share, capacity, grid) for share in SHARES]
+    return min(tried, key=lambda places: max((first + many for _, _, many, first, _ in places), default=0))
+
+
+def fill(histogram: dict[int, int], fitted: tuple[np.ndarray, np.ndarray, np.ndarray], share: float, capacity: int, grid: int) -> list[tuple[int, int, int, int, int]]:
     """Places for all pieces: (length, first rank, how many, first sequence, offset).
 
     The list is bounded by the lengths and patterns, not by the pieces: a step ends a length or a class of sequences.
@@ -186,15 +239,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, grid: int = GRID)
                 insort(free, space)
             room[space].append((first, count))
 
-    if left:
-        bins = np.array([-(-n // grid) for n in left])
-        total = capacity // grid
-        present = np.unique(bins[bins < total])
-        ways = patterns(present, total) if len(present) else np.empty((0, 3), np.int64)
-        target = np.array([sum(left[n] for n, b in zip(left, bins, strict=True) if b == p) for p in present], float)
-        repeats = np.floor(nnls(ways, target) + 1e-6).astype(np.int64) if len(ways) else np.empty(0, np.int64)
+    present, ways, counts = fitted
+    if len(ways):
+        repeats = np.floor(share * counts + 1e-6).astype(np.int64)
         members = {int(p): sorted((n for n in left if -(-n // grid) == p)) for p in present}
-        stock = target.astype(np.int64)
+        stock = np.array([sum(left[n] for n in members[p]) for p in present.tolist()])
         for way, count in sorted(zip(ways.tolist(), repeats.tolist(), strict=True), key=lambda x: -x[1]):
             parts = [p for p in way if p >= 0]
             count = min([count, *(int(stock[p]) // parts.count(p) for p in parts)])
@@ -263,6 +312,6 @@ def place_pieces(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInPandas(seat, f"{PIECES}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, cached_words: int = CACHED_WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    return place_pieces(checkpointed(pieces(docs, path, capacity)), capacity)
+    return place_pieces(checkpointed(pieces(docs, path, capacity, cached_words)), capacity)
