@@ -16,6 +16,8 @@ from sparklore.llm.common import scratch_path, shielded, table, unshielded
 #: Near-duplicate stage: five-word shingles and the radius of 64-bit fingerprints.
 NEAR_WORDS = 5
 NEAR_RADIUS = 3
+#: Earlier stages leave an executor with several Python workers; each may keep this many words a generation.
+CACHED_WORDS = 50_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -29,7 +31,7 @@ def _whole(step: Callable[[DataFrame], DataFrame]) -> Stage:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, cached_words=CACHED_WORDS)
 
 
 STAGES: list[tuple[str, Stage]] = [
