@@ -6,7 +6,9 @@ import math
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,13 @@ def gapless_rank(df: DataFrame, key: str, order: list[str], out: str, rows_per_b
     return dealt.join(offsets, [key, "_bucket"]).withColumn(out, F.col("_offset") + F.row_number().over(inside) - 1).drop("_bucket", "_offset")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in small slices, so that a worker never holds a whole batch as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shielded(docs: DataFrame) -> tuple[DataFrame, list[tuple[str, str]]]:
     """``docs`` with columns beyond DOCUMENT_COLUMNS under neutral names, so that they clash with nothing, and (new, old) names."""
     names = [(c if c in DOCUMENT_COLUMNS else f"_extra{i}", c) for i, c in enumerate(docs.columns)]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed
+from .common import checkpointed, slices
 
 FP, SHA = "_fp", "_sha"
 
@@ -89,7 +89,7 @@ def with_digests(docs: DataFrame) -> DataFrame:
     wide = T.StructType([*docs.schema.fields, T.StructField(FP, T.LongType()), T.StructField(SHA, T.StringType())])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [(x or b"").lower() for x in batch.column("text").cast(pa.binary()).to_pylist()]
             prints = pa.array(np.array([xxhash.xxh64_intdigest(x) for x in texts], np.uint64).view(np.int64))
             shas = pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())
@@ -150,7 +150,7 @@ def texts_by_bytes(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """Count the rows of each normalised text among those whose fingerprint repeats; copies meet as one row per task first."""
 
     def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [(x or b"").lower() for x in batch.column("text").cast(pa.binary()).to_pylist()]
             prints = pa.array(np.array([xxhash.xxh64_intdigest(x) for x in texts], np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([prints, pa.array(texts, pa.binary())], [FP, "_norm"])

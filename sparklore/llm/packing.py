@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, gapless_rank
+from .common import checkpointed, gapless_rank, slices
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -130,7 +130,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, c
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = WordEncoder.shared(where)
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
             for a in range(0, len(texts), 500):
                 rows = []

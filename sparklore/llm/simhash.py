@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed
+from .common import checkpointed, slices
 
 BITS = 64
 SHINGLE_WORDS = 3
@@ -59,7 +59,7 @@ def with_fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, name: str = "
     """All columns of ``docs`` and the fingerprint as a (signed) long."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             prints = [fingerprint(x or b"", words) for x in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(prints, np.uint64).view(np.int64))], [*batch.schema.names, name])
 

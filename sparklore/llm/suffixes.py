@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, slices
 
 LENGTH = 200
 GRAM = 64
@@ -117,7 +117,7 @@ def repeated_anchors(docs: DataFrame, segments: int, length: int, gram: int) ->
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in _texts(batch):
                 if len(text) >= length:
                     grams, at, first, last = anchors(text, length, gram)
@@ -405,7 +405,7 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(row_key(doc_id, text), packer.compress(text)) for doc_id, text in _texts(batch)]
             keys = np.array([k for k, _ in rows], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys), pa.array([t for _, t in rows], pa.binary())], ["doc_id", "key", "text"])

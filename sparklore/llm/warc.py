@@ -21,8 +21,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import slices
+
 MIN_REVISIT_BYTES = 100
-ARCHIVE_BYTES = 4 << 20
+ARCHIVE_BYTES = 1 << 20
 DICTIONARY_BYTES = 16 << 10
 #: A dictionary is trained on the first records of its archive, up to this many bytes.
 SAMPLE_BYTES = 1 << 20
@@ -168,7 +170,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
         def closed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([build_archive(records)], pa.binary())], ["value"])
 
-        for batch in batches:
+        for batch in slices(batches):
             columns = [batch.column(x).to_pylist() for x in ("page_id", "url")] + [batch.column("html").cast(pa.binary()).to_pylist()] + [batch.column(x).to_pylist() for x in ("_digest", "_first")]
             for page_id, url, html, digest, first in zip(*columns, strict=True):
                 records.append(build_record(page_id, url, html, digest, first))
@@ -183,16 +185,18 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     archives.write.mode("error").option("maxRecordsPerFile", 1).option("lineSep", EMPTY_SKIPPABLE).text(folder)
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record of the archives in ``folder``: RECORD_COLUMNS."""
+def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
+    """Every record of the archives in ``folder``: RECORD_COLUMNS. Without ``payloads`` they are checked but not returned."""
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for content in frame["content"]:
                 rows, size = [], 0
                 for record in read_archive(content) if len(content) else ():
+                    if not payloads:
+                        record["payload"] = None
                     rows.append(record)
-                    size += len(record["payload"] or b"")
+                    size += 1000 + len(record["payload"] or b"")
                     if size > 4 << 20:
                         yield pd.DataFrame(rows)
                         rows, size = [], 0
@@ -210,4 +214,4 @@ def archived_pages(spark: SparkSession, pages: DataFrame, folder: str) -> DataFr
     def number(name: str):
         return F.regexp_extract(name, r"<urn:page:(-?\d+)>", 1).try_cast("long")
 
-    return read_archives(spark, folder).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    return read_archives(spark, folder, payloads=False).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
