@@ -7,6 +7,11 @@ sum(t_i) = radius - partitions + 1, so that every linked pair is within t_i some
 meet on partition values (t = 0) or on values with t bits masked, and are verified on all 64 bits. Only distinct
 fingerprints take part; copies follow their fingerprint. A bucket that outgrows a task is split again by a plain
 pigeonhole over other blocks of bits, which loses no link. Classes are found by alternating stars in checkpointed rounds.
+
+With ``total``, every text has a second fingerprint of the same shingles under another hash. Either half is probed at
+``radius``, and a pair links if it is within ``radius`` in a half and within ``total`` bits of 128 over both: a wide radius
+finds near copies, and the second half keeps chance hits out at any corpus size. Texts of one first fingerprint are one
+class; the least of their second ones stands for it.
 """
 
 from __future__ import annotations
@@ -33,51 +38,69 @@ BUCKET = 4096
 PARTITION_CHOICES = (2, 3, 4, 5, 6)
 #: Cost of moving a key against that of verifying a candidate pair.
 KEY_COST = 40.0
+SECOND_SALT = 0xD1B54A32D192ED03
 
 
-def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
-    """The 64-bit SimHash of a text's shingles, repeats included."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle, repeats included."""
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(tokens)
     if len(tokens) <= words:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
-    else:
-        ends = list(itertools.accumulate(map(len, tokens)))
-        digest = xxhash.xxh64_intdigest
-        starts = [0, *(e + k for k, e in enumerate(ends, 1))]
-        stops = [e + k for k, e in enumerate(ends)]
-        hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops[words - 1 :], strict=False)], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = list(itertools.accumulate(map(len, tokens)))
+    digest = xxhash.xxh64_intdigest
+    starts = [0, *(e + k for k, e in enumerate(ends, 1))]
+    stops = [e + k for k, e in enumerate(ends)]
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops[words - 1 :], strict=False)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 for none."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         ones += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, name: str = "_simhash") -> DataFrame:
-    """All columns of ``docs`` and the fingerprint as a (signed) long."""
+def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
+    """The 64-bit SimHash of a text's shingles, repeats included."""
+    return majority(shingle_hashes(text, words))
+
+
+def fingerprint_pair(text: bytes, words: int) -> tuple[int, int]:
+    """Two SimHashes of the same shingles: that of ``fingerprint`` and one of re-mixed hashes."""
+    hashes = shingle_hashes(text, words)
+    return majority(hashes), majority(_mix(hashes ^ np.uint64(SECOND_SALT)))
+
+
+def with_fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, name: str = "_simhash", second: str | None = None) -> DataFrame:
+    """All columns of ``docs`` and the fingerprint as a (signed) long, with ``second`` also the second one."""
+    names = [name] if second is None else [name, second]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            prints = [fingerprint(x or b"", words) for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(prints, np.uint64).view(np.int64))], [*batch.schema.names, name])
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            prints = [(fingerprint(x or b"", words),) if second is None else fingerprint_pair(x or b"", words) for x in texts]
+            columns = np.array(prints, np.uint64).reshape(-1, len(names)).view(np.int64).T
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(c)) for c in columns)], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)]))
 
 
-def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+def bit_statistics(prints: DataFrame, by: str = "fp") -> tuple[int, np.ndarray, np.ndarray]:
     """Count, bit means and bit correlations of all fingerprints; 64 x 64 sums reach the driver, whatever the corpus."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, both = 0, np.zeros((BITS, BITS))
         for frame in frames:
-            bits = np.unpackbits(frame["fp"].to_numpy(np.int64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+            bits = np.unpackbits(frame[by].to_numpy(np.int64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
             n, both = n + len(bits), both + bits.T @ bits
         rows, columns = np.indices(both.shape)
         yield pd.DataFrame({"i": rows.ravel(), "j": columns.ravel(), "both": both.ravel(), "n": float(n)})
 
-    sums = prints.select("fp").mapInPandas(count, "i int, j int, both double, n double").groupBy("i", "j").agg(F.sum("both").alias("both"), F.sum("n").alias("n")).toPandas()
+    sums = prints.select(by).mapInPandas(count, "i int, j int, both double, n double").groupBy("i", "j").agg(F.sum("both").alias("both"), F.sum("n").alias("n")).toPandas()
     n = int(sums["n"].max()) if len(sums) else 0
     both = np.zeros((BITS, BITS))
     both[sums["i"], sums["j"]] = sums["both"]
@@ -147,8 +170,12 @@ def _mix(values: np.ndarray) -> np.ndarray:
     return values
 
 
-def probe_keys(prints: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """(key, fp): two rows within t bits of each other in a partition share a key with t of its bits masked."""
+def _keyed_schema(frame: DataFrame) -> str:
+    return "key long, " + ", ".join(f"{c} long" for c in frame.columns if c != "key")
+
+
+def probe_keys(prints: DataFrame, plan: list[tuple[list[int], int]], by: str = "fp") -> DataFrame:
+    """``prints`` under keys: two rows within t bits of each other in a partition share a key with t of its bits masked."""
     masks = []
     for group, threshold in plan:
         whole = sum(1 << b for b in group)
@@ -156,100 +183,105 @@ def probe_keys(prints: DataFrame, plan: list[tuple[list[int], int]]) -> DataFram
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            values = frame["fp"].to_numpy(np.int64).view(np.uint64)
+            values = frame[by].to_numpy(np.int64).view(np.uint64)
             for k, mask in enumerate(masks):
                 keys = _mix((values & np.uint64(mask)) + _mix(np.full(1, k + 1, np.uint64)))
-                yield pd.DataFrame({"key": keys.view(np.int64), "fp": frame["fp"]})
+                yield pd.DataFrame({"key": keys.view(np.int64)} | {c: frame[c] for c in frame})
 
-    return prints.select("fp").mapInPandas(spread, "key long, fp long")
+    return prints.mapInPandas(spread, _keyed_schema(prints))
 
 
-def split_keys(rows: DataFrame, level: int, radius: int) -> DataFrame:
+def split_keys(rows: DataFrame, level: int, radius: int, by: str = "fp") -> DataFrame:
     """A finer key for each of radius + 1 blocks of bits: rows within the radius agree in a block wholly."""
     order = np.roll(np.arange(BITS), 11 * level + 5)
     masks = [sum(1 << int(b) for b in part) for part in np.array_split(order, radius + 1)]
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            values, keys = frame["fp"].to_numpy(np.int64).view(np.uint64), frame["key"].to_numpy(np.int64).view(np.uint64)
+            values, keys = frame[by].to_numpy(np.int64).view(np.uint64), frame["key"].to_numpy(np.int64).view(np.uint64)
             for k, mask in enumerate(masks):
                 finer = _mix(_mix((values & np.uint64(mask)) + np.uint64(k + 1)) ^ keys)
-                yield pd.DataFrame({"key": finer.view(np.int64), "fp": frame["fp"]})
+                yield pd.DataFrame({"key": finer.view(np.int64)} | {c: frame[c] for c in frame if c != "key"})
+
+    return rows.mapInPandas(spread, _keyed_schema(rows))
 
-    return rows.mapInPandas(spread, "key long, fp long")
 
+def linked(values: np.ndarray, others: np.ndarray | None, at: np.ndarray | int, to: np.ndarray, radius: int, total: int | None) -> np.ndarray:
+    """Whether the rows ``at`` and ``to`` link: in the probed half, and with ``total`` over both."""
+    apart = np.bitwise_count(values[at] ^ values[to])
+    near = apart <= radius
+    return near if total is None else near & (apart.astype(np.int16) + np.bitwise_count(others[at] ^ others[to]) <= total)
 
-def spanning_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that connect what is connected among the distinct ``values`` of a bucket: at most one fewer than values."""
-    links, left = [], values
+
+def spanning_links(values: np.ndarray, radius: int, others: np.ndarray | None = None, total: int | None = None) -> list[tuple[int, int]]:
+    """Index pairs that connect what is connected among the rows of a bucket: at most one fewer than rows."""
+    links, left = [], np.arange(len(values))
     while len(left) > 1:
         frontier, left = left[:1], left[1:]
         while len(frontier) and len(left):
             found = np.zeros(len(left), bool)
-            for value in frontier:
-                near = ~found & (np.bitwise_count(left ^ value) <= radius)
-                links += [(int(value), int(x)) for x in left[near]]
+            for row in frontier:
+                near = ~found & linked(values, others, row, left, radius, total)
+                links += [(int(row), int(x)) for x in left[near]]
                 found |= near
             frontier, left = left[found], left[~found]
     return links
 
 
-def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
+def bucket_links(rows: DataFrame, radius: int, by: str = "fp", total: int | None = None) -> DataFrame:
     """(a, b) verified links among the rows that share a key; rows come sorted by key and buckets are compared at once."""
+    columns = ["key", by, "fp"] if total is None else ["key", by, "fp", "second" if by == "fp" else "fp"]
 
     def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held_keys, held = np.empty(0, np.int64), np.empty(0, np.uint64)
+        held = [np.empty(0, np.int64) for _ in columns]
 
-        def found(keys: np.ndarray, values: np.ndarray) -> pd.DataFrame:
+        def found(keys: np.ndarray, probed: np.ndarray, nodes: np.ndarray, *rest: np.ndarray) -> pd.DataFrame:
+            values, others = probed.view(np.uint64), rest[0].view(np.uint64) if rest else None
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             sizes = np.diff(np.r_[first, len(keys)])
-            size_of = np.repeat(sizes, sizes)
-            a, b = [], []
-            small = size_of <= 16
+            small = np.repeat(sizes, sizes) <= 16
+            pairs = []
             for gap in range(1, int(sizes[sizes <= 16].max(initial=1))):
-                same = small[:-gap] & (keys[gap:] == keys[:-gap])
-                x, y = values[:-gap][same], values[gap:][same]
-                near = (np.bitwise_count(x ^ y) <= radius) & (x != y)
-                a.append(x[near])
-                b.append(y[near])
+                at = np.flatnonzero(small[:-gap] & (keys[gap:] == keys[:-gap]))
+                at = at[linked(values, others, at, at + gap, radius, total)]
+                pairs.append(np.stack([at, at + gap], axis=1))
             for k in np.flatnonzero(sizes > 16):
-                pairs = spanning_links(np.unique(values[first[k] : first[k] + sizes[k]]), radius)
-                if pairs:
-                    x, y = np.array(pairs, np.uint64).T
-                    a.append(x)
-                    b.append(y)
-            x, y = (np.concatenate(z) if z else np.empty(0, np.uint64) for z in (a, b))
-            return pd.DataFrame({"a": x.view(np.int64), "b": y.view(np.int64)})
+                part = slice(first[k], first[k] + sizes[k])
+                inner = spanning_links(values[part], radius, None if others is None else others[part], total)
+                pairs.append(np.array(inner, np.int64).reshape(-1, 2) + first[k])
+            ends = nodes[np.concatenate(pairs)] if pairs else np.empty((0, 2), np.int64)
+            ends = ends[ends[:, 0] != ends[:, 1]]
+            return pd.DataFrame({"a": ends.min(axis=1), "b": ends.max(axis=1)})
 
         for frame in frames:
-            keys = np.r_[held_keys, frame["key"].to_numpy(np.int64)]
-            values = np.r_[held, frame["fp"].to_numpy(np.int64).view(np.uint64)]
-            if len(keys):
-                cut = np.searchsorted(keys, keys[-1])
-                held_keys, held = keys[cut:], values[cut:]
-                if cut:
-                    yield found(keys[:cut], values[:cut])
-        if len(held_keys):
-            yield found(held_keys, held)
+            held = [np.r_[old, frame[c].to_numpy(np.int64)] for old, c in zip(held, columns, strict=True)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if cut:
+                yield found(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield found(*held)
 
     dealt = rows.repartition("key").sortWithinPartitions("key")
     return dealt.mapInPandas(link, "a long, b long").distinct()
 
 
-def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, levels: int = 8) -> DataFrame:
-    """Verified links (a, b) that connect all distinct fingerprints (column ``fp``) within the radius."""
-    n, mean, correlation = bit_statistics(prints)
-    rows = probe_keys(prints, choose_plan(n, mean, correlation, radius))
-    parts, level = [], 0
-    while True:
-        # a bucket beyond the bound has at least that many rows; few keys do, so this table is tiny
-        large = checkpointed(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).select("key"))
-        if level == levels or large.isEmpty():
-            parts.append(bucket_links(rows, radius))
-            break
-        parts.append(bucket_links(rows.join(large, "key", "left_anti"), radius))
-        rows = checkpointed(split_keys(rows.join(large, "key"), level, radius))
-        level += 1
+def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, levels: int = 8, total: int | None = None) -> DataFrame:
+    """Verified links (a, b) that connect all distinct fingerprints (column ``fp``; with ``total`` also ``second``)."""
+    prints = prints.select("fp") if total is None else prints.select("fp", "second")
+    parts = []
+    for by in prints.columns:
+        n, mean, correlation = bit_statistics(prints, by)
+        rows, level = probe_keys(prints, choose_plan(n, mean, correlation, radius), by), 0
+        while True:
+            # a bucket beyond the bound has at least that many rows; few keys do, so this table is tiny
+            large = checkpointed(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).select("key"))
+            if level == levels or large.isEmpty():
+                parts.append(bucket_links(rows, radius, by, total))
+                break
+            parts.append(bucket_links(rows.join(large, "key", "left_anti"), radius, by, total))
+            rows = checkpointed(split_keys(rows.join(large, "key"), level, radius, by))
+            level += 1
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -277,11 +309,12 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return roots.union(both.select(F.col("v"), F.col("v"))).distinct()
 
 
-def near_groups(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Adds component_id, the least doc_id reachable, to checkpointed rows (doc_id, _simhash). Null ids count only where
-    a group has no other."""
-    prints = checkpointed(rows.groupBy(F.col("_simhash").alias("fp")).agg(F.min("doc_id").alias("least")))
-    classes = components(links(prints, radius))
+def near_groups(rows: DataFrame, radius: int = RADIUS, total: int | None = None) -> DataFrame:
+    """Adds component_id, the least doc_id reachable, to checkpointed rows (doc_id, _simhash; with ``total`` also _second).
+    Null ids count only where a group has no other."""
+    second = [] if total is None else [F.min("_second").alias("second")]
+    prints = checkpointed(rows.groupBy(F.col("_simhash").alias("fp")).agg(F.min("doc_id").alias("least"), *second))
+    classes = components(links(prints, radius, total=total))
     rooted = prints.join(classes, prints["fp"] == classes["node"], "left").withColumn("_class", F.coalesce("root", "fp"))
     smallest = rooted.filter("root is not null").groupBy("_class").agg(F.min("least").alias("_smallest"))
     moved = rooted.filter("root is not null").join(smallest, "_class").select(F.col("fp").alias("_moved"), "_smallest")
@@ -296,8 +329,9 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("_simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int, radius: int) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int, radius: int, total: int | None = None) -> DataFrame:
     """``docs`` with the row of the least doc_id of each group, all columns kept. Rows that share that id all stay."""
-    rows = checkpointed(with_fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("_text")), words).select("doc_id", "_text", "_simhash"))
-    gone = near_groups(rows, radius).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_gone")).distinct()
+    second = None if total is None else "_second"
+    rows = checkpointed(with_fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("_text")), words, second=second).drop("text"))
+    gone = near_groups(rows, radius, total).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_gone")).distinct()
     return docs.withColumn("_text", F.xxhash64("text")).join(gone, (F.col("_text") == F.col("_gone")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)

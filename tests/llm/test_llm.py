@@ -107,6 +107,55 @@ def test_links_of_dense_and_split_buckets(spark, radius):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def wide_groups(pairs, radius, total):
+    """Groups of first fingerprints by comparing all with all."""
+    least = {}
+    for p, q in pairs:
+        signed = int(np.array(q, np.uint64).view(np.int64))
+        least[p] = min(signed, least.get(p, signed))
+    both = {p: (p, q & (2**64 - 1)) for p, q in least.items()}
+    groups = []
+    for p, (a, b) in both.items():
+        near = [g for g in groups if any(min(d) <= radius and sum(d) <= total for d in (((a ^ both[x][0]).bit_count(), (b ^ both[x][1]).bit_count()) for x in g))]
+        groups = [g for g in groups if g not in near] + [{p}.union(*near)]
+    return sorted(map(sorted, groups))
+
+
+def flipped(rnd, value, most):
+    for _ in range(rnd.randrange(most)):
+        value ^= 1 << rnd.randrange(64)
+    return value
+
+
+def test_links_over_both_halves(spark):
+    rnd = random.Random(11)
+    rows = {rnd.getrandbits(64): rnd.getrandbits(64) for _ in range(200)}
+    for a, b in list(rows.items())[:40]:
+        for _ in range(rnd.randrange(8)):
+            rows.setdefault(flipped(rnd, a, 14), flipped(rnd, b, 14))
+    signed = lambda x: int(np.array(x, np.uint64).view(np.int64))
+    prints = spark.createDataFrame([(signed(a), signed(b)) for a, b in rows.items()], "fp long, second long")
+    roots = {r.node: r.root for r in simhash.components(simhash.links(prints, 7, bucket=30, total=19)).collect()}
+    got = {}
+    for a in rows:
+        got.setdefault(roots.get(signed(a), signed(a)), []).append(a)
+    assert sorted(map(sorted, got.values())) == wide_groups(rows.items(), 7, 19)
+
+
+def test_near_copies_of_high_similarity_go(spark):
+    """Copies with a changed word of 400 go, and texts that share a third of their words in a run stay."""
+    rnd = random.Random(5)
+    words = lambda n: ["w%d" % rnd.randrange(5000) for _ in range(n)]
+    rows = []
+    for k in range(40):
+        text = words(400)
+        changed = list(text)
+        changed[rnd.randrange(400)] = "other"
+        rows += [(3 * k, " ".join(text)), (3 * k + 1, " ".join(changed)), (3 * k + 2, " ".join(text[:130] + words(270)))]
+    left = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_RADIUS, corpus_pipeline.NEAR_TOTAL)
+    assert sorted(r.doc_id for r in left.collect()) == [k for k in range(120) if k % 3 != 1]
+
+
 def test_thresholds_follow_the_pigeonhole():
     rnd = np.random.default_rng(1)
     bits = rnd.random((500, 64)) < np.linspace(0.1, 0.9, 64)
@@ -369,9 +418,8 @@ def test_pipeline_stages_equal_brute_force(spark, docs, rows):
     assert two.columns == docs.columns
     assert len({as_bytes(r.text).lower() for r in one.collect()}) == two.count()
     three = stages[2](spark, two, FOLDER)
-    near = [(r.doc_id, fingerprint(r.text, corpus_pipeline.NEAR_WORDS)) for r in two.collect()]
-    roots = classes([p for _, p in near], corpus_pipeline.NEAR_RADIUS)
-    assert three.columns == docs.columns and three.count() == len(set(roots.values()))
+    near = [simhash.fingerprint_pair(as_bytes(r.text), corpus_pipeline.NEAR_WORDS) for r in two.collect()]
+    assert three.columns == docs.columns and three.count() == len(wide_groups(near, corpus_pipeline.NEAR_RADIUS, corpus_pipeline.NEAR_TOTAL))
     four = stages[3](spark, three, FOLDER)
     shares = {r.doc_id: r for r in mixture.mixed(three).collect()}
     want = sorted(str(k) for k, r in shares.items() for _ in range(int(r.taken / r.size + 0.5) if r.size else 0))
