@@ -33,7 +33,9 @@ GRID = 8
 #: Shares of the fitted counts that are tried; the rest of the pieces fills gaps by best fit.
 SHARES = (1.0, 0.5, 0.25)
 #: Distinct words in each of the two generations of a worker's cache.
-CACHED_WORDS = 450_000
+CACHED_WORDS = 120_000
+#: Bytes of text that are split into words at once.
+TEXT_BYTES = 1 << 21
 #: A byte that is always a token of its own; words that hold it are encoded singly.
 MARK = b"\x7f"
 PUNCTUATION = b".,;:!?|"
@@ -132,9 +134,11 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, c
         encoder = WordEncoder.shared(where)
         for batch in slices(batches):
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
-            for a in range(0, len(texts), 500):
+            begun = np.cumsum([0] + [len(x or b"") for x in texts]) // TEXT_BYTES
+            firsts = [a for a in range(len(texts)) if not a or begun[a] != begun[a - 1]]
+            for a, z in itertools.pairwise([*firsts, len(texts)]):
                 rows = []
-                for doc_id, coded in zip(ids[a : a + 500], encoder.encode([x or b"" for x in texts[a : a + 500]], cached_words), strict=True):
+                for doc_id, coded in zip(ids[a:z], encoder.encode([x or b"" for x in texts[a:z]], cached_words), strict=True):
                     coded += closing
                     for k, at in enumerate(range(0, len(coded), 4 * capacity)):
                         part = coded[at : at + 4 * capacity]
