@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from sparklore.llm import exact, mixture, packing, quality, simhash
 from sparklore.llm.common import scratch_path, shielded, table, unshielded
 
-#: Near-duplicate stage: five-word shingles; a pair is within the radius in a 64-bit half and within the total over both.
-#: Texts of a similarity of 0.8 differ in 19.4 of 128 bits on average: 128 * acos(2 * 0.8 / 1.8) / pi.
+#: Near-duplicate stage: five-word shingles; a candidate is within the radius in a 64-bit half and within the total over both,
+#: and links at the similarity. Texts of a similarity of 0.8 differ in 19.4 of 128 bits on average, in 28 or fewer nearly always.
 NEAR_WORDS = 5
-NEAR_RADIUS = 7
-NEAR_TOTAL = 19
+NEAR_RADIUS = 8
+NEAR_TOTAL = 28
+NEAR_SIMILARITY = 0.8
 #: Earlier stages leave an executor with several Python workers; each may keep this many words a generation.
 CACHED_WORDS = 50_000
 
@@ -39,7 +40,7 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", _whole(quality.keep_good)),
     ("exact_dedup", _whole(exact.drop_exact_duplicates)),
-    ("simhash_near_dedup", _whole(lambda docs: simhash.drop_near_duplicates(docs, NEAR_WORDS, NEAR_RADIUS, NEAR_TOTAL))),
+    ("simhash_near_dedup", _whole(lambda docs: simhash.drop_near_duplicates(docs, NEAR_WORDS, NEAR_RADIUS, NEAR_TOTAL, NEAR_SIMILARITY))),
     ("mix_sources", _whole(mixture.apply_mix)),
     ("best_fit_packing", pack_stage),
 ]

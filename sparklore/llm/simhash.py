@@ -9,9 +9,12 @@ fingerprints take part; copies follow their fingerprint. A bucket that outgrows
 pigeonhole over other blocks of bits, which loses no link. Classes are found by alternating stars in checkpointed rounds.
 
 With ``total``, every text has a second fingerprint of the same shingles under another hash. Either half is probed at
-``radius``, and a pair links if it is within ``radius`` in a half and within ``total`` bits of 128 over both: a wide radius
-finds near copies, and the second half keeps chance hits out at any corpus size. Texts of one first fingerprint are one
-class; the least of their second ones stands for it.
+``radius``, and a pair is a candidate if it is within ``radius`` in a half and within ``total`` bits of 128 over both: a wide
+radius finds near copies, and the second half keeps chance hits out at any corpus size. Texts of one first fingerprint are
+one class; the least of their second ones stands for it. With ``similarity`` a candidate links only if the sets of shingles
+of both (of the row with the least doc_id in a class) have that Jaccard similarity or more. Buckets of up to 16 classes, and
+larger ones with few candidates, give them all; others give a tree of least distances, so that no group is expanded into all
+pairs.
 """
 
 from __future__ import annotations
@@ -36,8 +39,11 @@ RADIUS = 2
 #: Fingerprints that one task compares at most; larger buckets are split.
 BUCKET = 4096
 PARTITION_CHOICES = (2, 3, 4, 5, 6)
-#: Cost of moving a key against that of verifying a candidate pair.
+#: Cost of moving a key against that of verifying a candidate pair, row by row and in blocks of rows.
 KEY_COST = 40.0
+BLOCK_KEY_COST = 300.0
+#: Rows of a bucket that are held against its others at once.
+BLOCK = 256
 SECOND_SALT = 0xD1B54A32D192ED03
 
 
@@ -128,7 +134,7 @@ def group_bits(correlation: np.ndarray, partitions: int) -> list[list[int]]:
     return out
 
 
-def allocate(n: int, mean: np.ndarray, groups: list[list[int]], radius: int) -> tuple[float, list[int]]:
+def allocate(n: int, mean: np.ndarray, groups: list[list[int]], radius: int, key_cost: float = KEY_COST) -> tuple[float, list[int]]:
     """Thresholds of least estimated cost. The chance that two rows differ in t bits of a partition follows from the bits'
     means; a partition probed with threshold t sends C(width, t) keys for each row."""
     costs = []
@@ -138,7 +144,7 @@ def allocate(n: int, mean: np.ndarray, groups: list[list[int]], radius: int) ->
             differ = 2 * mean[bit] * (1 - mean[bit])
             chance = np.convolve(chance, [1 - differ, differ])
         within = np.cumsum(chance)
-        costs.append([0.0] + [KEY_COST * n * math.comb(len(group), t) + math.comb(len(group), t) * n * (n - 1) / 2 * within[t] for t in range(radius + 1)])
+        costs.append([0.0] + [key_cost * n * math.comb(len(group), t) + math.comb(len(group), t) * n * (n - 1) / 2 * within[t] for t in range(radius + 1)])
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for k, cost in enumerate(costs, 1):
         step: dict[int, tuple[float, list[int]]] = {}
@@ -151,12 +157,12 @@ def allocate(n: int, mean: np.ndarray, groups: list[list[int]], radius: int) ->
     return best[radius - len(groups) + 1]
 
 
-def choose_plan(n: int, mean: np.ndarray, correlation: np.ndarray, radius: int) -> list[tuple[list[int], int]]:
+def choose_plan(n: int, mean: np.ndarray, correlation: np.ndarray, radius: int, key_cost: float = KEY_COST) -> list[tuple[list[int], int]]:
     """(bits, threshold) of every partition that is probed, for the number of partitions that costs least."""
     best = None
     for m in PARTITION_CHOICES:
         groups = group_bits(correlation, m)
-        cost, thresholds = allocate(n, mean, groups, radius)
+        cost, thresholds = allocate(n, mean, groups, radius, key_cost)
         if best is None or cost < best[0]:
             best = (cost, [(g, t) for g, t in zip(groups, thresholds, strict=True) if t >= 0])
     return best[1]
@@ -213,7 +219,7 @@ def linked(values: np.ndarray, others: np.ndarray | None, at: np.ndarray | int,
     return near if total is None else near & (apart.astype(np.int16) + np.bitwise_count(others[at] ^ others[to]) <= total)
 
 
-def spanning_links(values: np.ndarray, radius: int, others: np.ndarray | None = None, total: int | None = None) -> list[tuple[int, int]]:
+def spanning_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Index pairs that connect what is connected among the rows of a bucket: at most one fewer than rows."""
     links, left = [], np.arange(len(values))
     while len(left) > 1:
@@ -221,13 +227,46 @@ def spanning_links(values: np.ndarray, radius: int, others: np.ndarray | None =
         while len(frontier) and len(left):
             found = np.zeros(len(left), bool)
             for row in frontier:
-                near = ~found & linked(values, others, row, left, radius, total)
+                near = ~found & linked(values, None, row, left, radius, None)
                 links += [(int(row), int(x)) for x in left[near]]
                 found |= near
             frontier, left = left[found], left[~found]
     return links
 
 
+def near_pairs(values: np.ndarray, others: np.ndarray, radius: int, total: int) -> np.ndarray:
+    """Index pairs of candidates among the rows of a bucket: all of them where there are up to four for each row, else those
+    of ``nearest_links``."""
+    found, count = [], 0
+    for at in range(0, len(values), BLOCK):
+        i, j = np.nonzero(np.bitwise_count(values[at : at + BLOCK, None] ^ values[None, at:]) <= radius)
+        i, j = at + i[i < j], at + j[i < j]
+        kept = linked(values, others, i, j, radius, total)
+        found.append(np.stack([i[kept], j[kept]], axis=1))
+        count += len(found[-1])
+        if count > 4 * len(values):
+            return np.array(nearest_links(values, others, radius, total), np.int64).reshape(-1, 2)
+    return np.concatenate(found)
+
+
+def nearest_links(values: np.ndarray, others: np.ndarray, radius: int, total: int) -> list[tuple[int, int]]:
+    """Index pairs of a spanning forest of least distances over both halves (Prim's): it connects at every distance what is
+    connected at that distance, so few links of close rows hang on a candidate that fails the check of shingles."""
+    far = 2 * BITS + 1
+    distance, parent, free = np.full(len(values), far), np.zeros(len(values), np.int64), np.ones(len(values), bool)
+    links, at = [], 0
+    for _ in range(len(values) - 1):
+        free[at] = False
+        apart = np.bitwise_count(values ^ values[at]).astype(np.int64)
+        both = apart + np.bitwise_count(others ^ others[at])
+        closer = (apart <= radius) & (both <= total) & (both < distance)
+        distance[closer], parent[closer] = both[closer], at
+        at = int(np.argmin(np.where(free, distance, far + 1)))
+        if distance[at] < far:
+            links.append((int(parent[at]), at))
+    return links
+
+
 def bucket_links(rows: DataFrame, radius: int, by: str = "fp", total: int | None = None) -> DataFrame:
     """(a, b) verified links among the rows that share a key; rows come sorted by key and buckets are compared at once."""
     columns = ["key", by, "fp"] if total is None else ["key", by, "fp", "second" if by == "fp" else "fp"]
@@ -247,8 +286,9 @@ def bucket_links(rows: DataFrame, radius: int, by: str = "fp", total: int | None
                 pairs.append(np.stack([at, at + gap], axis=1))
             for k in np.flatnonzero(sizes > 16):
                 part = slice(first[k], first[k] + sizes[k])
-                inner = spanning_links(values[part], radius, None if others is None else others[part], total)
-                pairs.append(np.array(inner, np.int64).reshape(-1, 2) + first[k])
+                order = np.argsort(nodes[part])  # the same tree for the same rows under every key
+                inner = spanning_links(values[part][order], radius) if others is None else near_pairs(values[part][order], others[part][order], radius, total)
+                pairs.append(first[k] + order[np.array(inner, np.int64).reshape(-1, 2)])
             ends = nodes[np.concatenate(pairs)] if pairs else np.empty((0, 2), np.int64)
             ends = ends[ends[:, 0] != ends[:, 1]]
             return pd.DataFrame({"a": ends.min(axis=1), "b": ends.max(axis=1)})
@@ -272,7 +312,7 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, levels:
     parts = []
     for by in prints.columns:
         n, mean, correlation = bit_statistics(prints, by)
-        rows, level = probe_keys(prints, choose_plan(n, mean, correlation, radius), by), 0
+        rows, level = probe_keys(prints, choose_plan(n, mean, correlation, radius, KEY_COST if total is None else BLOCK_KEY_COST), by), 0
         while True:
             # a bucket beyond the bound has at least that many rows; few keys do, so this table is tiny
             large = checkpointed(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).select("key"))
@@ -309,12 +349,40 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return roots.union(both.select(F.col("v"), F.col("v"))).distinct()
 
 
-def near_groups(rows: DataFrame, radius: int = RADIUS, total: int | None = None) -> DataFrame:
+def confirmed(edges: DataFrame, chosen: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The ``edges`` (a, b) whose texts have a Jaccard similarity of at least ``similarity`` between their sets of shingles.
+
+    ``chosen`` (fp, _id, _text) names the row of ``docs`` that stands for a fingerprint; only linked rows' shingles are kept.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices([batch], 64):
+                sets = [np.unique(shingle_hashes(x or b"", words)).view(np.int64) for x in part.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("fp"), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
+
+    ends = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct()
+    linked_rows = chosen.join(ends, "fp")
+    texts = docs.select(F.col("doc_id").alias("_doc"), "text", F.xxhash64("text").alias("_hash"))
+    found = texts.join(linked_rows, (texts["_hash"] == linked_rows["_text"]) & texts["_doc"].eqNullSafe(linked_rows["_id"]))
+    sets = checkpointed(found.select("fp", "text").mapInArrow(cut, "fp long, shingles array<long>"))
+    left, right = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"_{c}")) for c in "ab")
+    shared = F.size(F.array_intersect("_a", "_b"))
+    close = shared >= F.lit(similarity) * (F.size("_a") + F.size("_b") - shared)
+    return edges.join(left, "a").join(right, "b").filter(close).select("a", "b").distinct()
+
+
+def near_groups(rows: DataFrame, radius: int = RADIUS, total: int | None = None, docs: DataFrame | None = None, words: int = SHINGLE_WORDS, similarity: float | None = None) -> DataFrame:
     """Adds component_id, the least doc_id reachable, to checkpointed rows (doc_id, _simhash; with ``total`` also _second).
+    With ``similarity``, candidates are confirmed on the shingles of ``docs`` (rows then have _text, the text's xxhash64).
     Null ids count only where a group has no other."""
     second = [] if total is None else [F.min("_second").alias("second")]
-    prints = checkpointed(rows.groupBy(F.col("_simhash").alias("fp")).agg(F.min("doc_id").alias("least"), *second))
-    classes = components(links(prints, radius, total=total))
+    chosen = [] if similarity is None else [F.min(F.struct("doc_id", "_text")).alias("_row")]
+    prints = checkpointed(rows.groupBy(F.col("_simhash").alias("fp")).agg(F.min("doc_id").alias("least"), *second, *chosen))
+    edges = links(prints, radius, total=total)
+    if similarity is not None:
+        edges = confirmed(checkpointed(edges), prints.select("fp", F.col("_row.doc_id").alias("_id"), "_row._text"), docs, words, similarity)
+    classes = components(edges)
     rooted = prints.join(classes, prints["fp"] == classes["node"], "left").withColumn("_class", F.coalesce("root", "fp"))
     smallest = rooted.filter("root is not null").groupBy("_class").agg(F.min("least").alias("_smallest"))
     moved = rooted.filter("root is not null").join(smallest, "_class").select(F.col("fp").alias("_moved"), "_smallest")
@@ -329,9 +397,9 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("_simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int, radius: int, total: int | None = None) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int, radius: int, total: int | None = None, similarity: float | None = None) -> DataFrame:
     """``docs`` with the row of the least doc_id of each group, all columns kept. Rows that share that id all stay."""
     second = None if total is None else "_second"
     rows = checkpointed(with_fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("_text")), words, second=second).drop("text"))
-    gone = near_groups(rows, radius, total).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_gone")).distinct()
+    gone = near_groups(rows, radius, total, docs, words, similarity).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_gone")).distinct()
     return docs.withColumn("_text", F.xxhash64("text")).join(gone, (F.col("_text") == F.col("_gone")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)

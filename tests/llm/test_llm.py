@@ -107,7 +107,17 @@ def test_links_of_dense_and_split_buckets(spark, radius):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
-def wide_groups(pairs, radius, total):
+def five_words(text):
+    """The set of five-word shingles; of fewer words, the whole sequence."""
+    tokens = as_bytes(text).lower().split()
+    return {b" ".join(tokens[k : k + 5]) for k in range(max(1, len(tokens) - 4))} if tokens else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 0.0
+
+
+def wide_groups(pairs, radius, total, similar=lambda x, y: True):
     """Groups of first fingerprints by comparing all with all."""
     least = {}
     for p, q in pairs:
@@ -116,7 +126,7 @@ def wide_groups(pairs, radius, total):
     both = {p: (p, q & (2**64 - 1)) for p, q in least.items()}
     groups = []
     for p, (a, b) in both.items():
-        near = [g for g in groups if any(min(d) <= radius and sum(d) <= total for d in (((a ^ both[x][0]).bit_count(), (b ^ both[x][1]).bit_count()) for x in g))]
+        near = [g for g in groups if any(min(d) <= radius and sum(d) <= total for d in (((a ^ both[x][0]).bit_count(), (b ^ both[x][1]).bit_count()) for x in g if similar(x, p)))]
         groups = [g for g in groups if g not in near] + [{p}.union(*near)]
     return sorted(map(sorted, groups))
 
@@ -152,10 +162,49 @@ def test_near_copies_of_high_similarity_go(spark):
         changed = list(text)
         changed[rnd.randrange(400)] = "other"
         rows += [(3 * k, " ".join(text)), (3 * k + 1, " ".join(changed)), (3 * k + 2, " ".join(text[:130] + words(270)))]
-    left = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_RADIUS, corpus_pipeline.NEAR_TOTAL)
+    left = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_RADIUS, corpus_pipeline.NEAR_TOTAL, corpus_pipeline.NEAR_SIMILARITY)
     assert sorted(r.doc_id for r in left.collect()) == [k for k in range(120) if k % 3 != 1]
 
 
+def test_candidates_below_the_similarity_stay(spark):
+    """Copies with 4 to 40 of 300 words changed: none goes unless a chain of links of 0.8 or more ties it to a lower id."""
+    rnd = random.Random(9)
+    texts = []
+    for _ in range(30):
+        text = ["v%d" % rnd.randrange(5000) for _ in range(300)]
+        for changes in (0, 4, 8, 12, 16, 20, 40):
+            copy = list(text)
+            for at in rnd.sample(range(300), changes):
+                copy[at] = "x%d" % rnd.randrange(10**6)
+            texts.append(" ".join(copy))
+    sets = [five_words(t) for t in texts]
+    links = {(i, j) for i in range(len(texts)) for j in range(i) if i // 7 == j // 7 and jaccard(sets[i], sets[j]) >= 0.8}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    candidates = {r.doc_id for r in simhash.drop_near_duplicates(df, 5, 8, 28).collect()}
+    left = {r.doc_id for r in simhash.drop_near_duplicates(df, 5, 8, 28, 0.8).collect()}
+    gone = set(range(len(texts))) - left
+    assert candidates < left
+    assert gone <= {i for i, _ in links} and all(any((i, j) in links or (j, i) in links for j in range(len(texts))) for i in gone)
+    found = [i % 7 for i in gone]
+    assert found.count(1) >= 24  # of 30 copies with 4 of 300 words changed, about 0.87; the probe itself is an estimate
+
+
+def test_nearest_links_connect_all_within_reach():
+    rnd = np.random.default_rng(4)
+    base = rnd.integers(0, 2**63, (20, 2), dtype=np.uint64)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rnd.integers(0, 64, (400, 2, 3), dtype=np.uint64), axis=2)
+    values, others = (base[rnd.integers(0, 20, 400)] ^ flips).T
+    roots = list(range(400))
+    pairs = {tuple(map(int, x)) for x in simhash.near_pairs(values[:60], others[:60], 7, 14)}
+    assert pairs == {(i, j) for i in range(60) for j in range(i + 1, 60) if int(values[i] ^ values[j]).bit_count() <= 7 and int(values[i] ^ values[j]).bit_count() + int(others[i] ^ others[j]).bit_count() <= 14}
+    for i, j in simhash.nearest_links(values, others, 7, 14):
+        assert roots[i] != roots[j]  # a forest
+        roots = [roots[i] if r == roots[j] else r for r in roots]
+    apart, other = (np.bitwise_count(x[:, None] ^ x[None, :]).astype(int) for x in (values, others))
+    for i, j in np.argwhere((apart <= 7) & (apart + other <= 14)):
+        assert roots[i] == roots[j]
+
+
 def test_thresholds_follow_the_pigeonhole():
     rnd = np.random.default_rng(1)
     bits = rnd.random((500, 64)) < np.linspace(0.1, 0.9, 64)
@@ -418,8 +467,11 @@ def test_pipeline_stages_equal_brute_force(spark, docs, rows):
     assert two.columns == docs.columns
     assert len({as_bytes(r.text).lower() for r in one.collect()}) == two.count()
     three = stages[2](spark, two, FOLDER)
-    near = [simhash.fingerprint_pair(as_bytes(r.text), corpus_pipeline.NEAR_WORDS) for r in two.collect()]
-    assert three.columns == docs.columns and three.count() == len(wide_groups(near, corpus_pipeline.NEAR_RADIUS, corpus_pipeline.NEAR_TOTAL))
+    texts = [r.text for r in sorted(two.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0), reverse=True)]
+    near = [simhash.fingerprint_pair(as_bytes(x), corpus_pipeline.NEAR_WORDS) for x in texts]
+    sets = {p: five_words(x) for (p, _), x in zip(near, texts, strict=True)}  # of the least doc_id
+    similar = lambda x, y: jaccard(sets[x], sets[y]) >= corpus_pipeline.NEAR_SIMILARITY
+    assert three.columns == docs.columns and three.count() == len(wide_groups(near, corpus_pipeline.NEAR_RADIUS, corpus_pipeline.NEAR_TOTAL, similar))
     four = stages[3](spark, three, FOLDER)
     shares = {r.doc_id: r for r in mixture.mixed(three).collect()}
     want = sorted(str(k) for k, r in shares.items() for _ in range(int(r.taken / r.size + 0.5) if r.size else 0))
