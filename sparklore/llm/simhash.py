@@ -14,7 +14,7 @@ radius finds near copies, and the second half keeps chance hits out at any corpu
 one class; the least of their second ones stands for it. With ``similarity`` a candidate links only if the sets of shingles
 of both (of the row with the least doc_id in a class) have that Jaccard similarity or more. Buckets of up to 16 classes, and
 larger ones with few candidates, give them all; others give a tree of least distances, so that no group is expanded into all
-pairs.
+pairs. Where a candidate fails and leaves classes apart, all other candidates between their rows are tried too.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ KEY_COST = 40.0
 BLOCK_KEY_COST = 300.0
 #: Rows of a bucket that are held against its others at once.
 BLOCK = 256
+#: Rows of a block whose shingles meet those of another block in a task, where a failed candidate leaves classes apart.
+TRIED = 1024
 SECOND_SALT = 0xD1B54A32D192ED03
 
 
@@ -349,8 +351,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return roots.union(both.select(F.col("v"), F.col("v"))).distinct()
 
 
-def confirmed(edges: DataFrame, chosen: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The ``edges`` (a, b) whose texts have a Jaccard similarity of at least ``similarity`` between their sets of shingles.
+def linked_sets(edges: DataFrame, chosen: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(fp, shingles) of every fingerprint in ``edges`` (a, b), checkpointed.
 
     ``chosen`` (fp, _id, _text) names the row of ``docs`` that stands for a fingerprint; only linked rows' shingles are kept.
     """
@@ -365,13 +367,76 @@ def confirmed(edges: DataFrame, chosen: DataFrame, docs: DataFrame, words: int,
     linked_rows = chosen.join(ends, "fp")
     texts = docs.select(F.col("doc_id").alias("_doc"), "text", F.xxhash64("text").alias("_hash"))
     found = texts.join(linked_rows, (texts["_hash"] == linked_rows["_text"]) & texts["_doc"].eqNullSafe(linked_rows["_id"]))
-    sets = checkpointed(found.select("fp", "text").mapInArrow(cut, "fp long, shingles array<long>"))
+    return checkpointed(found.select("fp", "text").mapInArrow(cut, "fp long, shingles array<long>"))
+
+
+def confirmed(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``edges`` (a, b) whose ``sets`` (fp, shingles) have a Jaccard similarity of at least ``similarity``."""
     left, right = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"_{c}")) for c in "ab")
     shared = F.size(F.array_intersect("_a", "_b"))
     close = shared >= F.lit(similarity) * (F.size("_a") + F.size("_b") - shared)
     return edges.join(left, "a").join(right, "b").filter(close).select("a", "b").distinct()
 
 
+def similar_links(values: np.ndarray, others: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, radius: int, total: int, similarity: float) -> list[tuple[int, int]]:
+    """Index pairs that connect what candidates of ``similarity`` or more connect; rows of one label are connected already.
+    Every candidate between rows still apart is checked, whichever half it is within ``radius`` in."""
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    sizes = np.array([len(x) for x in sets])
+    stops = np.cumsum(sizes)
+    labels, marked, out = np.unique(labels, return_inverse=True)[1], np.zeros(int(ids.max(initial=-1)) + 1, bool), []
+    for i in range(len(values) - 1):
+        to = np.arange(i + 1, len(values))
+        to = to[labels[to] != labels[i]]
+        to = to[linked(values, others, i, to, radius, total) | linked(others, values, i, to, radius, total)]
+        if not len(to):
+            continue
+        own = ids[stops[i] - sizes[i] : stops[i]]
+        marked[own] = True
+        shared = np.array([np.count_nonzero(marked[ids[stops[j] - sizes[j] : stops[j]]]) for j in to])
+        marked[own] = False
+        for j in to[shared >= similarity * (sizes[i] + sizes[to] - shared)]:
+            if labels[j] != labels[i]:
+                out.append((i, int(j)))
+                labels[labels == labels[j]] = labels[i]
+    return out
+
+
+def regained(edges: DataFrame, kept: DataFrame, classes: DataFrame, sets: DataFrame, prints: DataFrame, radius: int, total: int, similarity: float, block: int = TRIED) -> DataFrame:
+    """(a, b) confirmed links that ``kept`` lacks because a bucket gave a tree of candidates only.
+
+    Classes of ``kept`` (node, root) with a failed candidate between them form a group, and all candidates of a group are
+    tried. A group of more than ``block`` rows is dealt into blocks; every pair of blocks meets in a task.
+    """
+    roots = [classes.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in "ab"]
+    failed = edges.join(kept, ["a", "b"], "left_anti").join(roots[0], "a", "left").join(roots[1], "b", "left")
+    apart = checkpointed(failed.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).filter("a <> b").distinct())
+    rooted = prints.select("fp", "second").join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    grouped = checkpointed(rooted.join(components(apart).select(F.col("node").alias("root"), F.col("root").alias("group")), "root"))
+    # a failed candidate between two rows alone leaves nothing to try
+    counted = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 2").withColumn("_blocks", F.ceil(F.col("_n") / block))
+    dealt = grouped.join(counted, "group").withColumn("_block", F.pmod(F.xxhash64("fp"), F.col("_blocks")))
+    met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    rows = met.select("group", F.least("_block", "_other").alias("low"), F.greatest("_block", "_other").alias("high"), "fp", "second", "root").join(sets, "fp")
+
+    def link(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("fp", ignore_index=True)
+        nodes = frame["fp"].to_numpy(np.int64)
+        found = similar_links(nodes.view(np.uint64), frame["second"].to_numpy(np.int64).view(np.uint64), list(frame["shingles"]), frame["root"].to_numpy(np.int64), radius, total, similarity)
+        ends = nodes[np.array(found, np.int64).reshape(-1, 2)]
+        return pd.DataFrame({"a": ends.min(axis=1), "b": ends.max(axis=1)})
+
+    return checkpointed(rows.groupBy("group", "low", "high").applyInPandas(link, "a long, b long").distinct())
+
+
+def similar_classes(edges: DataFrame, prints: DataFrame, sets: DataFrame, radius: int, total: int, similarity: float, block: int = TRIED) -> DataFrame:
+    """(node, root) of the classes that candidates of ``similarity`` or more connect; ``edges`` connect all candidates."""
+    kept = checkpointed(confirmed(edges, sets, similarity))
+    classes = checkpointed(components(kept))
+    more = regained(edges, kept, classes, sets, prints, radius, total, similarity, block)
+    return classes if more.isEmpty() else components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
 def near_groups(rows: DataFrame, radius: int = RADIUS, total: int | None = None, docs: DataFrame | None = None, words: int = SHINGLE_WORDS, similarity: float | None = None) -> DataFrame:
     """Adds component_id, the least doc_id reachable, to checkpointed rows (doc_id, _simhash; with ``total`` also _second).
     With ``similarity``, candidates are confirmed on the shingles of ``docs`` (rows then have _text, the text's xxhash64).
@@ -380,9 +445,12 @@ def near_groups(rows: DataFrame, radius: int = RADIUS, total: int | None = None,
     chosen = [] if similarity is None else [F.min(F.struct("doc_id", "_text")).alias("_row")]
     prints = checkpointed(rows.groupBy(F.col("_simhash").alias("fp")).agg(F.min("doc_id").alias("least"), *second, *chosen))
     edges = links(prints, radius, total=total)
-    if similarity is not None:
-        edges = confirmed(checkpointed(edges), prints.select("fp", F.col("_row.doc_id").alias("_id"), "_row._text"), docs, words, similarity)
-    classes = components(edges)
+    if similarity is None:
+        classes = components(edges)
+    else:
+        edges = checkpointed(edges)
+        sets = linked_sets(edges, prints.select("fp", F.col("_row.doc_id").alias("_id"), "_row._text"), docs, words)
+        classes = similar_classes(edges, prints, sets, radius, total, similarity)
     rooted = prints.join(classes, prints["fp"] == classes["node"], "left").withColumn("_class", F.coalesce("root", "fp"))
     smallest = rooted.filter("root is not null").groupBy("_class").agg(F.min("least").alias("_smallest"))
     moved = rooted.filter("root is not null").join(smallest, "_class").select(F.col("fp").alias("_moved"), "_smallest")

@@ -189,6 +189,32 @@ def test_candidates_below_the_similarity_stay(spark):
     assert found.count(1) >= 24  # of 30 copies with 4 of 300 words changed, about 0.87; the probe itself is an estimate
 
 
+def test_no_candidate_of_a_dense_group_is_lost(spark):
+    """Near copies of one text, many pairs of them below 0.8: a failed candidate of the tree does not hide a row's other candidates."""
+    rnd = random.Random(21)
+    base = ["v%d" % rnd.randrange(5000) for _ in range(300)]
+    texts = []
+    for _ in range(250):
+        copy = list(base)
+        for at in rnd.sample(range(300), rnd.randrange(2, 9)):
+            copy[at] = "x%d" % rnd.randrange(10**6)
+        texts.append(" ".join(copy))
+    prints = [simhash.fingerprint_pair(as_bytes(t), 5) for t in texts]
+    sets = {p[0]: five_words(x) for p, x in zip(prints, texts, strict=True)}
+    assert len({a for a, _ in prints}) == len(texts)
+    expected = wide_groups(prints, 8, 28, lambda x, y: jaccard(sets[x], sets[y]) >= 0.8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.drop_near_duplicates(df, 5, 8, 28, 0.8).count() == len(expected)
+    # small blocks: every pair of blocks meets
+    hashes = [np.unique(simhash.shingle_hashes(as_bytes(t), 5)).view(np.int64).tolist() for t in texts]
+    signed = [tuple(int(np.uint64(x).view(np.int64)) for x in p) for p in prints]
+    both = spark.createDataFrame(signed, "fp long, second long")
+    shingles = spark.createDataFrame([(p[0], h) for p, h in zip(signed, hashes, strict=True)], "fp long, shingles array<long>")
+    edges = simhash.checkpointed(simhash.links(both, 8, total=28))
+    roots = {r.node: r.root for r in simhash.similar_classes(edges, both, shingles, 8, 28, 0.8, block=40).collect()}
+    assert len({roots.get(fp, fp) for fp, _ in signed}) == len(expected)
+
+
 def test_nearest_links_connect_all_within_reach():
     rnd = np.random.default_rng(4)
     base = rnd.integers(0, 2**63, (20, 2), dtype=np.uint64)
