@@ -411,9 +411,15 @@ def curate_pairs(t):
     return M.similar_pairs(t["v_memories"])
 
 
+@query(r"""WITH b AS (SELECT project, doc_id, list_sort(list_distinct(list_filter(string_split_regex(lower(content), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 3))) AS t FROM v_memories)
+SELECT project, doc_id, min(doc_id) OVER (PARTITION BY project, t) AS representative FROM b WHERE len(t) > 0""")
+def curate_members(t):
+    return M.class_members(t["v_memories"]).select("project", "doc_id", "representative")
+
+
 @query()
 def curate_greedy(t):
-    return M.curate_greedy(M.similar_pairs(t["v_memories"]))
+    return M.curate_copies(t["v_memories"])
 
 
 @query("""WITH p AS (SELECT x.label, x.vec_id AS a, y.vec_id AS b, 1 - list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS d FROM embeddings x JOIN embeddings y ON y.label = x.label AND y.vec_id < x.vec_id),

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .graph import cut
 
 
 def is_always_on(importance: Column, tags: Column | None = None) -> Column:
@@ -32,14 +33,24 @@ def curate_stale(memories: DataFrame, now: str, days: int = 90, importance: floa
     return memories.filter((F.col("status") == "active") & (idle >= days) & (F.col("importance") <= importance)).select("id", "project", idle.alias("idle_days"))
 
 
+def _tokenised(memories: DataFrame, key: str, scope: str, text: str) -> DataFrame:
+    return memories.select(scope, key, T.curation_tokens(F.col(text)).alias("tokens")).filter(F.size("tokens") > 0).withColumn("tokens", F.array_sort("tokens"))
+
+
+def class_members(memories: DataFrame, key: str = "doc_id", scope: str = "project", text: str = "content") -> DataFrame:
+    """(scope, key, representative, newest) of every record with tokens: the least and greatest key of its set of tokens."""
+    base = _tokenised(memories, key, scope, text).withColumn("_class", F.sha2(F.array_join("tokens", " "), 256)).drop("tokens")
+    ends = base.groupBy(scope, "_class").agg(F.min(key).alias("representative"), F.max(key).alias("newest"))
+    return base.join(ends, [scope, "_class"]).select(scope, key, "representative", "newest")
+
+
 def similar_pairs(memories: DataFrame, threshold: float = 0.8, key: str = "doc_id", scope: str = "project", text: str = "content") -> DataFrame:
     """(scope, a, b, jaccard) of all pairs in a scope at or above ``threshold``, exactly, by prefix filtering.
 
     Tokens go by rising frequency; a pair that similar shares a token in each one's first |x| - ceil(t |x|) + 1 tokens, so only
-    those are joined. Equal token sets stand in as one row (their pairs follow from the class), which keeps copies apart.
+    those are joined. Equal token sets stand in as one row, that of the least key; ``class_members`` tells whom it stands for.
     """
-    base = memories.select(scope, key, T.curation_tokens(F.col(text)).alias("tokens")).filter(F.size("tokens") > 0).withColumn("tokens", F.array_sort("tokens"))
-    classes = base.groupBy(scope, "tokens").agg(F.min(key).alias("a"))
+    classes = _tokenised(memories, key, scope, text).groupBy(scope, "tokens").agg(F.min(key).alias("a"))
     frequency = classes.select(scope, F.explode("tokens").alias("token")).groupBy(scope, "token").agg(F.count(F.lit(1)).alias("df"))
     exploded = classes.select(scope, "a", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(frequency, [scope, "token"])
     place = F.row_number().over(Window.partitionBy(scope, "a").orderBy("df", "token"))
@@ -67,6 +78,21 @@ def curate_greedy(pairs: DataFrame, scope: str = "project") -> DataFrame:
     return pairs.groupBy(scope).applyInPandas(fold, f"{scope} string, loser long, keeper long")
 
 
+def curate_copies(memories: DataFrame, threshold: float = 0.8, key: str = "doc_id", scope: str = "project", text: str = "content") -> DataFrame:
+    """(scope, loser, keeper) of ``curate_greedy`` over the pairs of all records, copies too.
+
+    The newest record of a set of tokens meets all pairs of its class first, so a class falls as a whole, to the newest of
+    another, or keeps its newest and loses the rest: the pairs of the newest decide, and no group is expanded into all pairs.
+    """
+    members = cut(class_members(memories, key, scope, text))
+    newest = members.select(scope, "representative", "newest").distinct()
+    a, b = (newest.select(scope, F.col("representative").alias(c), F.col("newest").alias(f"_{c}")) for c in "ab")
+    pairs = similar_pairs(memories, threshold, key, scope, text).join(a, [scope, "a"]).join(b, [scope, "b"])
+    fallen = curate_greedy(pairs.select(scope, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")), scope)
+    kept = members.join(fallen.withColumnRenamed("loser", "newest"), [scope, "newest"], "left").withColumn("keeper", F.coalesce("keeper", "newest"))
+    return kept.filter(F.col(key) != F.col("keeper")).select(scope, F.col(key).alias("loser"), "keeper")
+
+
 def newest_runs(runs: DataFrame, keep: int = 500) -> DataFrame:
     """The ledger after pruning: the newest runs of each project."""
     order = Window.partitionBy("project").orderBy(F.col("id").desc())

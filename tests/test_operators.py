@@ -66,6 +66,24 @@ def test_similar_pairs_equal_brute_force(spark):
     assert [(r.a, r.b, r.jaccard) for r in M.similar_pairs(rows).collect()] == [(0, 1, 0.833333)]
 
 
+def test_curation_archives_copies(spark):
+    """Losers by comparing all records with all, against the query's operator; equal sets of tokens are copies."""
+    texts = ["alpha beta gamma delta epsilon", "alpha beta gamma delta epsilon zeta", "one two three", "epsilon delta gamma beta alpha", "", "three two one one", "beta alpha gamma delta epsilon eta", "lone words here", "zeta alpha beta gamma delta epsilon", "one two three", "eta alpha beta gamma delta epsilon"]
+    rows = [(k, p, x) for p in ("p", "q") for k, x in enumerate(texts if p == "p" else texts[::-1])]
+    rows = [(k + 100 * (p == "q"), p, x) for k, p, x in rows]
+    df = spark.createDataFrame(rows, "doc_id long, project string, content string")
+    expected = set()
+    for project in ("p", "q"):
+        own, gone = [(k, set(x.split())) for k, p, x in rows if p == project and x], set()
+        for b, right in reversed(own):
+            for a, left in reversed(own):
+                if a < b and a not in gone and b not in gone and len(left & right) >= 0.8 * len(left | right):
+                    gone.add(a)
+                    expected.add((project, a, b))
+    assert {(r.project, r.loser, r.keeper) for r in M.curate_copies(df).collect()} == expected and len(expected) > 8
+    assert {(r.doc_id, r.representative) for r in M.class_members(df).filter("project = 'p'").collect()} == {(0, 0), (1, 1), (2, 2), (3, 0), (5, 2), (6, 6), (7, 7), (8, 1), (9, 2), (10, 6)}
+
+
 def test_parse_python_and_chunks(spark, tmp_path):
     (tmp_path / "pkg").mkdir()
     (tmp_path / "node_modules").mkdir()
