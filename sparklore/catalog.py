@@ -235,7 +235,9 @@ def callers_by_certainty(t):
     return G.grade_calls(t["v_calls"], t["v_functions"]).groupBy("caller", G.certainty(F.col("confidence")).alias("certainty")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Depth of the SQL texts of walks. The queries go further: a chain and tests to the reference's bounds, others to the end.
 DEPTH = 6
+CHAIN_DEPTH, TESTS_DEPTH = 12, 10
 BFS = f"""WITH RECURSIVE e AS (SELECT DISTINCT {{src}} AS s, {{dst}} AS d FROM v_calls WHERE src_id <> dst_id),
 r(node, depth) AS (SELECT {{seed}}, 0 UNION SELECT e.d, depth + 1 FROM r JOIN e ON e.s = r.node WHERE depth < {DEPTH})
 SELECT {{out}} FROM (SELECT node, min(depth) AS depth FROM r GROUP BY node) x {{tail}}"""
@@ -252,18 +254,18 @@ def _seed(t, node: int) -> DataFrame:
 
 @query(BFS.format(src="src_id", dst="dst_id", seed="CAST(0 AS BIGINT)", out="node, CAST(depth AS INTEGER) AS depth", tail=""))
 def bfs_distances(t):
-    return G.walk(_edges(t), _seed(t, 0), DEPTH).select("node", "depth")
+    return G.walk(_edges(t), _seed(t, 0)).select("node", "depth")
 
 
 @query(BFS.format(src="src_id", dst="dst_id", seed="CAST(0 AS BIGINT)", out="CAST(max(depth) AS INTEGER) AS hops", tail="WHERE node = (SELECT max(dst_id) FROM v_calls WHERE dst_id < 150)"))
 def call_chain(t):
     goal = t["v_calls"].filter("dst_id < 150").agg(F.max("dst_id")).first()[0]
-    return G.shortest_path(_edges(t), 0, goal, DEPTH).agg(F.max("step").alias("hops"))
+    return G.shortest_path(_edges(t), 0, goal, CHAIN_DEPTH).agg(F.max("step").alias("hops"))
 
 
 @query(BFS.format(src="dst_id", dst="src_id", seed="CAST(20 AS BIGINT)", out="f.id, CAST(depth AS INTEGER) AS depth", tail="JOIN v_functions f ON f.id = x.node WHERE f.is_test AND depth > 0"))
 def tests_covering(t):
-    reached = G.walk(_edges(t, reverse=True), _seed(t, 20), DEPTH).filter("depth > 0")
+    reached = G.walk(_edges(t, reverse=True), _seed(t, 20), TESTS_DEPTH).filter("depth > 0")
     return reached.join(t["v_functions"].filter("is_test").select(F.col("id").alias("node")), "node").select(F.col("node").alias("id"), "depth")
 
 
@@ -300,7 +302,7 @@ def dead_code(t):
 @query(f"WITH RECURSIVE r AS (SELECT id AS node, 0 AS depth FROM v_functions WHERE is_test UNION SELECT c.dst_id, depth + 1 FROM r JOIN v_calls c ON c.src_id = r.node WHERE depth < {DEPTH}) SELECT id FROM v_functions WHERE id NOT IN (SELECT node FROM r)")
 def unreachable(t):
     f = t["v_functions"]
-    reached = G.walk(_edges(t), f.filter("is_test").select(F.col("id").alias("node")), DEPTH)
+    reached = G.walk(_edges(t), f.filter("is_test").select(F.col("id").alias("node")))
     return f.join(reached.select(F.col("node").alias("id")), "id", "left_anti").select("id")
 
 

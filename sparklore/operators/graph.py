@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 from functools import reduce
 
@@ -44,17 +45,20 @@ def call_edges(graded: DataFrame) -> DataFrame:
     return graded.select(src.alias("src"), dst.alias("dst"), "confidence").filter("src <> dst").groupBy("src", "dst").agg(F.max("confidence").alias("confidence"))
 
 
-def walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(node, depth, pred): breadth-first levels from ``seeds`` (node) over (src, dst); least predecessor wins ties."""
+def walk(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, depth, pred): breadth-first levels from ``seeds`` (node) over (src, dst); least predecessor wins ties.
+    Without ``depth`` it goes on until nothing new is reached."""
     edges = cut(edges.select("src", "dst").distinct())
     frontier = cut(seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(dict(edges.dtypes)["src"]).alias("pred")))
     levels = seen = frontier
-    for d in range(1, depth + 1):
+    for d in itertools.count(1) if depth is None else range(1, depth + 1):
         step = frontier.join(edges, frontier["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("pred"))
         frontier = cut(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("depth"), "pred"))
         if frontier.isEmpty():
             break
         levels = levels.unionByName(frontier)
+        if d % 10 == 0:
+            levels = cut(levels)
         seen = levels
     return levels
 

@@ -3,10 +3,12 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from sparklore import catalog
 from sparklore.functions import text as T
 from sparklore.operators import graph as G
 from sparklore.operators import records as M
 from sparklore.operators import retrieval as R
+from sparklore.plans.fixtures import Tables
 from sparklore.sources import code as C
 from sparklore.streaming import maintenance as S
 
@@ -30,6 +32,40 @@ def test_path_follows_edges_and_may_be_missing(spark):
     assert G.shortest_path(edges, 3, 1, 5).count() == 0
 
 
+def test_walk_goes_to_the_end(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(14)] + [(14, 3)], "src long, dst long")
+    seeds = spark.createDataFrame([(0,)], "node long")
+    assert sorted((r.node, r.depth) for r in G.walk(edges, seeds).collect()) == [(k, k) for k in range(15)]
+
+
+def test_registered_walks_equal_brute_force(spark):
+    t = Tables(spark, "/root/testdata/sf0.01")
+    forth, back = {}, {}
+    for r in t["v_calls"].filter("src_id <> dst_id").select("src_id", "dst_id").distinct().collect():
+        forth.setdefault(r.src_id, []).append(r.dst_id)
+        back.setdefault(r.dst_id, []).append(r.src_id)
+
+    def reach(edges, seeds):
+        depth, queue = dict.fromkeys(seeds, 0), list(seeds)
+        for node in queue:
+            for x in edges.get(node, []):
+                if x not in depth:
+                    depth[x] = depth[node] + 1
+                    queue.append(x)
+        return depth
+
+    functions = {r.id: r.is_test for r in t["v_functions"].select("id", "is_test").collect()}
+    tests = [k for k, x in functions.items() if x]
+    run = lambda name: catalog.QUERIES[name](spark, t.folder).collect()
+    ahead, behind, covered = reach(forth, [0]), reach(back, [20]), reach(forth, tests)
+    assert max(ahead.values()) > 6
+    assert {r.node: r.depth for r in run("bfs_distances")} == ahead
+    assert {r.id for r in run("unreachable")} == functions.keys() - covered.keys()
+    assert {r.id: r.depth for r in run("tests_covering")} == {k: d for k, d in behind.items() if functions[k] and 0 < d <= 10}
+    goal = max(k for k in back if k < 150)
+    assert [r.hops for r in run("call_chain")] == [ahead[goal] if ahead.get(goal, 99) <= 12 else None]
+
+
 def test_grades(spark):
     functions = spark.createDataFrame([("run", "A::run"), ("run", "B::run"), ("free", "free"), ("paint", "W::paint"), ("paint", "W::paint")], "name string, qualified_name string")
     calls = spark.createDataFrame([("run", "A::run", True), ("paint", "W::paint", True), ("free", None, False), ("run", None, True), ("gone", None, False), ("run", "C::run", False)], "callee string, guess string, is_method boolean")
