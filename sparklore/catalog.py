@@ -275,7 +275,7 @@ IMPORTS = "SELECT DISTINCT a.file_id AS s, b.file_id AS d FROM v_calls c JOIN v_
 def _imports(t, reverse: bool = False) -> DataFrame:
     f = t["v_functions"].select("id", "file_id")
     a, b = f.toDF("src_id", "src"), f.toDF("dst_id", "dst")
-    e = t["v_calls"].filter("line = 1").join(a, "src_id").join(b, "dst_id").filter("src <> dst").select("src", "dst").distinct()
+    e = t["v_calls"].select("src_id", "dst_id").distinct().join(a, "src_id").join(b, "dst_id").filter("src <> dst").select("src", "dst").distinct()
     return e.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if reverse else e
 
 

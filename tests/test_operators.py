@@ -66,6 +66,17 @@ def test_registered_walks_equal_brute_force(spark):
     assert [r.hops for r in run("call_chain")] == [ahead[goal] if ahead.get(goal, 99) <= 12 else None]
 
 
+def test_imports_are_all_file_pairs_of_calls(spark):
+    t = Tables(spark, "/root/testdata/sf0.01")
+    file = {r.id: r.file_id for r in t["v_functions"].select("id", "file_id").collect()}
+    pairs = {(file[r.src_id], file[r.dst_id]) for r in t["v_calls"].select("src_id", "dst_id").collect()}
+    for name, edges in (("dependencies", pairs), ("impact", {(b, a) for a, b in pairs})):
+        depth = {1: 0}
+        for d in (1, 2):
+            depth = {b: d for a, b in edges if a in depth} | depth
+        assert {r.file_id: r.depth for r in catalog.QUERIES[name](spark, t.folder).collect()} == depth
+
+
 def test_grades(spark):
     functions = spark.createDataFrame([("run", "A::run"), ("run", "B::run"), ("free", "free"), ("paint", "W::paint"), ("paint", "W::paint")], "name string, qualified_name string")
     calls = spark.createDataFrame([("run", "A::run", True), ("paint", "W::paint", True), ("free", None, False), ("run", None, True), ("gone", None, False), ("run", "C::run", False)], "callee string, guess string, is_method boolean")
