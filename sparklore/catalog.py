@@ -315,6 +315,7 @@ def references_classified(t):
     return d.withColumn("kind", F.lit("definition")).unionByName(c.withColumn("kind", F.lit("call"))).select("kind", "path", "line")
 
 
+#: Steps of the unrolled SQL texts; the queries iterate until ranks change by less than 1e-6 in all.
 STEPS = 5
 
 
@@ -331,17 +332,17 @@ def _nodes(t) -> DataFrame:
 
 @query(f"WITH {pagerank_sql('src_id', 'dst_id')} SELECT node, round(rank, 9) AS rank FROM r{STEPS}")
 def pagerank_authority(t):
-    return G.pagerank(_edges(t), _nodes(t), STEPS).select("node", F.round("rank", 9).alias("rank"))
+    return G.pagerank(_edges(t), _nodes(t)).select("node", F.round("rank", 9).alias("rank"))
 
 
 @query(f"WITH {pagerank_sql('dst_id', 'src_id')} SELECT node, round(rank, 9) AS rank FROM r{STEPS}")
 def pagerank_hub(t):
-    return G.pagerank(_edges(t, reverse=True), _nodes(t), STEPS).select("node", F.round("rank", 9).alias("rank"))
+    return G.pagerank(_edges(t, reverse=True), _nodes(t)).select("node", F.round("rank", 9).alias("rank"))
 
 
 @query(f"WITH a AS (WITH {pagerank_sql('src_id', 'dst_id')} SELECT * FROM r{STEPS}), h AS (WITH {pagerank_sql('dst_id', 'src_id')} SELECT * FROM r{STEPS}), b AS (SELECT a.node, sqrt(a.rank * h.rank) AS r FROM a JOIN h ON h.node = a.node) SELECT node, round(r / max(r) OVER (), 6) AS rank FROM b")
 def symbol_rank(t):
-    return G.symbol_rank(_edges(t), _nodes(t), STEPS)
+    return G.symbol_rank(_edges(t), _nodes(t))
 
 
 FILE_EDGES = f"SELECT a.path AS a, b.path AS b, a.is_test AS from_test, round(sum(greatest(confidence, 0.3)), 6) AS w FROM ({GRADED}) c JOIN v_functions a ON a.id = c.src_id JOIN v_functions b ON b.id = c.dst_id WHERE a.path <> b.path GROUP BY 1, 2, 3"

@@ -78,23 +78,25 @@ def shortest_path(edges: DataFrame, start: int | str, goal: int | str, depth: in
     return spark.createDataFrame(path[::-1], f"step int, node {kind}")
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
-    """(node, rank) after a fixed number of steps: parallel edges count, self loops go, dangling mass spreads evenly."""
+def pagerank(edges: DataFrame, nodes: DataFrame, iterations: int = 100, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """(node, rank), iterated to an L1 change below ``tolerance``: parallel edges count, self loops go, dangling mass spreads evenly."""
     out = edges.filter("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
     links = cut(out.join(out.groupBy("src").agg(F.sum("w").alias("total")), "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
-    nodes = cut(nodes.select("node").distinct())
-    n = nodes.count()
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    sources = links.select(F.col("src").alias("node")).distinct()
+    sources = links.select(F.col("src").alias("node"), F.lit(False).alias("dangling")).distinct()
+    n = nodes.select("node").distinct().count()
+    start = nodes.select("node").distinct().join(sources, "node", "left").select("node", F.coalesce("dangling", F.lit(True)).alias("dangling"))
+    ranks = cut(start.withColumn("rank", F.lit(1.0 / max(n, 1))).withColumn("change", F.lit(0.0)))
     for _ in range(iterations):
-        ranks = cut(ranks)
-        dangling = ranks.join(sources, "node", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("d")).first()["d"]
+        dangling = ranks.filter("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("d")).first()["d"]
         given = ranks.join(links, ranks["node"] == links["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        ranks = nodes.join(given, "node", "left").select("node", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(dangling / n))).alias("rank"))
-    return ranks
+        rank = (1 - damping) / max(n, 1) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(dangling / max(n, 1)))
+        ranks = cut(ranks.join(given, "node", "left").select("node", "dangling", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("change")))
+        if (ranks.agg(F.sum("change").alias("c")).first()["c"] or 0.0) < tolerance:
+            break
+    return ranks.select("node", "rank")
 
 
-def symbol_rank(edges: DataFrame, nodes: DataFrame, iterations: int = 10) -> DataFrame:
+def symbol_rank(edges: DataFrame, nodes: DataFrame, iterations: int = 100) -> DataFrame:
     """Square root of authority times hub, over the greatest: (node, rank)."""
     authority = pagerank(edges, nodes, iterations)
     hub = pagerank(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), nodes, iterations).withColumnRenamed("rank", "hub")

@@ -1,5 +1,6 @@
 """Small inline graphs, texts and files with exact answers."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -20,6 +21,30 @@ def test_pagerank_diamond(spark):
     assert max(ranks, key=ranks.get) == "util" and abs(sum(ranks.values()) - 1) < 1e-9
 
 
+def test_registered_ranks_are_converged(spark):
+    """Brute-force PageRank in numpy, iterated far beyond the operator's stop."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    ids = sorted(r.id for r in t["v_functions"].select("id").collect())
+    at, n = {x: k for k, x in enumerate(ids)}, len(ids)
+    calls = [(at[r.src_id], at[r.dst_id]) for r in t["v_calls"].filter("src_id <> dst_id").collect()]
+
+    def ranks(pairs):
+        weight = np.zeros((n, n))
+        for a, b in pairs:
+            weight[a, b] += 1
+        total = weight.sum(axis=1)
+        rank = np.full(n, 1 / n)
+        for _ in range(300):
+            rank = 0.15 / n + 0.85 * ((rank / np.maximum(total, 1)) @ weight + rank[total == 0].sum() / n)
+        return rank
+
+    authority, hub = ranks(calls), ranks([(b, a) for a, b in calls])
+    blend = np.sqrt(authority * hub)
+    for name, wanted, within in (("pagerank_authority", authority, 1e-5), ("pagerank_hub", hub, 1e-5), ("symbol_rank", blend / blend.max(), 1e-3)):
+        got = {r.node: r["rank"] for r in catalog.QUERIES[name](spark, t.folder).collect()}
+        assert got.keys() == at.keys() and sum(abs(got[x] - wanted[k]) for x, k in at.items()) < within
+
+
 def test_two_cliques_are_two_communities():
     rows = [(a, b, 3.0) for a, b in (("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z"))] + [("c", "x", 0.2)]
     found = G.louvain(pd.DataFrame(rows, columns=["a", "b", "w"]))
