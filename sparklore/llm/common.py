@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import string
 import tempfile
 import uuid
@@ -28,9 +29,11 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where that is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only in local mode without it."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir")
+    if configured is None and sc.getCheckpointDir() is None and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="sparklore-"))
     return configured or sc.getCheckpointDir()
@@ -40,12 +43,61 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with files in the shared folder, which survive the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: Words of 64 bits in a Bloom filter at most: its broadcast is bounded whatever the list's length. A list too long for it
+#: lets more rows through to the exact join and changes no result.
+MOST_WORDS = 1 << 18
+#: Rows of a checkpointed table that are broadcast at most, where a row has a few hundred bytes.
+BROADCAST_ROWS = 50_000
+
+
+def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A checkpointed table, to be broadcast if it has at most ``rows`` rows and to be joined by shuffling beyond."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
+def bloom_bits(key: Column, words: int) -> tuple[Column, Column]:
+    """The word of a blocked Bloom filter that a key falls in, and the key's four bits in it."""
+    h, g = F.xxhash64(key), F.xxhash64(key, F.lit("bits"))
+    one = F.lit(1).cast("long")
+    mask = None
+    for shift in (0, 6, 12, 18):
+        bit = F.call_function("shiftleft", one, F.shiftrightunsigned(g, shift).bitwiseAND(F.lit(63)).cast("int"))
+        mask = bit if mask is None else mask.bitwiseOR(bit)
+    return F.pmod(h, F.lit(words)).cast("int"), mask
+
+
+def bloom_size(keys: int) -> int:
+    """Words for so many keys, four keys a word, from 64 to MOST_WORDS."""
+    return min(MOST_WORDS, 1 << max(6, math.ceil(math.log2(max(1, keys) / 4))))
+
+
+def bloom_words(listed: DataFrame, key: str, words: int) -> DataFrame:
+    """(_word, _bits): the filter of the keys in ``listed``, at most ``words`` rows."""
+    word, mask = bloom_bits(F.col(key), words)
+    return listed.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+
+
+def with_possible(rows: DataFrame, key: Column, listed: DataFrame, column: str, name: str = "_possible") -> DataFrame:
+    """Adds whether ``key`` may be among the ``column`` of the checkpointed ``listed``: false only where it is not."""
+    words = bloom_size(listed.count())
+    word, mask = bloom_bits(key, words)
+    probed = rows.withColumn("_at", word).withColumn("_need", mask).join(F.broadcast(bloom_words(listed, column, words)), F.col("_at") == F.col("_word"), "left")
+    found = F.coalesce("_bits", F.lit(0).cast("long")).bitwiseAND(F.col("_need")) == F.col("_need")
+    return probed.withColumn(name, found & key.isNotNull()).drop("_at", "_need", "_word", "_bits")
+
+
 def gapless_rank(df: DataFrame, key: str, order: list[str], out: str, rows_per_bucket: int = 50_000) -> DataFrame:
     """Number the rows of each ``key`` from 0 without gaps.
 
