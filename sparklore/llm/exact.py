@@ -17,9 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, slices
+from .common import BROADCAST_ROWS, checkpointed, slices, small, with_possible
 
 FP, SHA = "_fp", "_sha"
+#: Rows whose fingerprints a segment of the filters holds on average, and segments at least.
+ROWS_PER_SEGMENT = 250_000
+MIN_SEGMENTS = 64
 
 
 class CountingQuotientFilter:
@@ -35,13 +38,13 @@ class CountingQuotientFilter:
         self.occupied, self.run_end, self.remainders, self.counts = occupied, run_end, remainders, counts
 
     @classmethod
-    def build(cls, fingerprints: np.ndarray, bits: int, qbits: int, weights: np.ndarray | None = None) -> CountingQuotientFilter:
-        order = np.argsort(fingerprints, kind="stable")
-        ordered = fingerprints[order]
-        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
-        amounts = np.ones(len(ordered), np.int64) if weights is None else weights[order]
-        counts = np.add.reduceat(amounts, first) if len(first) else np.empty(0, np.int64)
-        distinct = ordered[first]
+    def build(cls, fingerprints: np.ndarray, bits: int, qbits: int) -> CountingQuotientFilter:
+        distinct, counts = np.unique(fingerprints, return_counts=True)
+        return cls.of_sorted(distinct, counts, bits, qbits)
+
+    @classmethod
+    def of_sorted(cls, distinct: np.ndarray, counts: np.ndarray, bits: int, qbits: int) -> CountingQuotientFilter:
+        """From distinct fingerprints in order, and their counts."""
         quotients = (distinct >> np.uint64(bits - qbits)).astype(np.int64)
         occupied = np.zeros(1 << qbits, bool)
         occupied[quotients] = True
@@ -56,9 +59,12 @@ class CountingQuotientFilter:
 
     @classmethod
     def merge(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
-        """One filter for all: runs are merged by sorted remainders and counts add up, so nothing is lost."""
+        """One filter for all, of the widest quotient among them: runs are merged pair by pair in order of their remainders
+        and counts add up, so nothing is lost and nothing is sorted again."""
         parts = [f.entries() for f in filters]
-        return cls.build(np.concatenate([p[0] for p in parts]), filters[0].bits, filters[0].qbits, np.concatenate([p[1] for p in parts]))
+        while len(parts) > 1:
+            parts = [merged_entries(*parts[k], *parts[k + 1]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+        return cls.of_sorted(*parts[0], filters[0].bits, max(f.qbits for f in filters))
 
     def to_bytes(self) -> bytes:
         many = np.flatnonzero(self.counts > 1)
@@ -84,6 +90,24 @@ class CountingQuotientFilter:
         return cls(bits, qbits, occupied, run_end, remainders, counts)
 
 
+def merged_entries(values: np.ndarray, counts: np.ndarray, others: np.ndarray, other_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two lists of distinct fingerprints in order and their counts as one: each entry's place follows from a search in the other."""
+    at = np.searchsorted(values, others)
+    there = np.zeros(len(others), bool)
+    inside = at < len(values)
+    there[inside] = values[at[inside]] == others[inside]
+    counts = counts.copy()
+    counts[at[there]] += other_counts[there]
+    new = ~there
+    places = at[new] + np.arange(int(new.sum()))
+    out, out_counts = np.empty(len(values) + len(places), np.uint64), np.empty(len(values) + len(places), np.int64)
+    own = np.ones(len(out), bool)
+    own[places] = False
+    out[places], out_counts[places] = others[new], other_counts[new]
+    out[own], out_counts[own] = values, counts
+    return out, out_counts
+
+
 def with_digests(docs: DataFrame) -> DataFrame:
     """All columns of ``docs``, the 64-bit fingerprint ``_fp`` and the hex SHA-256 ``_sha`` of the normalised text."""
     wide = T.StructType([*docs.schema.fields, T.StructField(FP, T.LongType()), T.StructField(SHA, T.StringType())])
@@ -101,28 +125,25 @@ def with_digests(docs: DataFrame) -> DataFrame:
 def repeated_fingerprints(prints: DataFrame, segments: int | None = None, qbits: int = 12) -> DataFrame:
     """Fingerprints that occur more than once, as (``_fp``, ``n``).
 
-    Every partition builds one filter for each segment (range) of the fingerprint space; a segment's filters meet in one
-    task, whose share of the space shrinks as ``segments`` grows (by default four for each shuffle partition).
+    Every partition builds one filter for each segment (range) of the fingerprint space, of eight bytes a row; a segment's
+    filters meet in one task. The number of segments follows from the number of rows, so a task's share does not grow.
     """
-    spark = prints.sparkSession
-    segments = segments or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    segments = segments or max(MIN_SEGMENTS, prints.count() // ROWS_PER_SEGMENT)
     levels = max(1, (segments - 1).bit_length())
     bits = 64 - levels
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            values = np.sort(frame[FP].to_numpy(np.int64).view(np.uint64))
-            owners = (values >> np.uint64(bits)).astype(np.int64)
-            cuts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]]) if len(values) else []
-            ends = np.r_[cuts[1:], len(values)] if len(values) else []
-            width = min(qbits, max(1, int(len(values) / max(1, len(cuts))).bit_length()))
-            yield pd.DataFrame({"segment": owners[cuts] if len(values) else [], "filter": [CountingQuotientFilter.build(values[a:b] & np.uint64((1 << bits) - 1), bits, width).to_bytes() for a, b in zip(cuts, ends, strict=True)]})
+        values = np.sort(np.concatenate([np.empty(0, np.uint64), *(frame[FP].to_numpy(np.int64).view(np.uint64) for frame in frames)]))
+        if not len(values):
+            return
+        owners = (values >> np.uint64(bits)).astype(np.int64)
+        cuts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
+        width = min(qbits, max(1, int(len(values) / len(cuts)).bit_length()))
+        filters = [CountingQuotientFilter.build(part & np.uint64((1 << bits) - 1), bits, width).to_bytes() for part in np.split(values, cuts[1:])]
+        yield pd.DataFrame({"segment": owners[cuts], "filter": filters})
 
     def merge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        filters = [CountingQuotientFilter.from_bytes(x) for x in frame["filter"]]
-        width = max(f.qbits for f in filters)
-        filters = [f if f.qbits == width else CountingQuotientFilter.build(f.entries()[0], bits, width, f.counts) for f in filters]
-        values, counts = CountingQuotientFilter.merge(filters).entries()
+        values, counts = CountingQuotientFilter.merge([CountingQuotientFilter.from_bytes(x) for x in frame["filter"]]).entries()
         many = counts > 1
         return pd.DataFrame({FP: (values[many] | (np.uint64(int(key[0])) << np.uint64(bits))).view(np.int64), "n": counts[many]})
 
@@ -130,24 +151,26 @@ def repeated_fingerprints(prints: DataFrame, segments: int | None = None, qbits:
 
 
 def duplicate_groups(docs: DataFrame, digests: DataFrame) -> DataFrame:
-    """One row per group of two or more equal texts: ``_fp``, ``_sha``, keep_id, keep_row, group_size and ties.
+    """One row per group of two or more equal texts: ``_fp``, ``_sha``, keep_id, keep_row and group_size; checkpointed.
 
     ``digests`` is the checkpointed (doc_id, _row, _fp, _sha) of ``docs``. Texts whose fingerprint repeats are compared
     byte by byte: the rows that share a text must be as many as those that share its digest.
     """
-    repeated = repeated_fingerprints(digests).select(FP)
-    rows = digests.join(repeated, FP)
+    repeated = checkpointed(repeated_fingerprints(digests).select(FP))
+    rows = digests.join(small(repeated), FP)
     top = F.max(F.struct("doc_id", "_row"))
-    groups = rows.groupBy(FP, SHA).agg(top.alias("_top"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.filter("group_size > 1")
-    checked = texts_by_bytes(docs, repeated)
+    groups = rows.groupBy(FP, SHA).agg(top.alias("_top"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
     same = F.col("group_size") == F.col("_bytes_n")
     safe = F.when(same, F.col("group_size")).otherwise(F.raise_error(F.lit("texts with one SHA-256 differ in bytes")).cast("long"))
-    return groups.join(checked, [FP, SHA]).select(FP, SHA, F.col("_top.doc_id").alias("keep_id"), F.col("_top._row").alias("keep_row"), safe.alias("group_size"))
+    checked = groups.join(texts_by_bytes(docs, repeated), [FP, SHA])
+    return checkpointed(checked.select(FP, SHA, F.col("_top.doc_id").alias("keep_id"), F.col("_top._row").alias("keep_row"), safe.alias("group_size")))
 
 
 def texts_by_bytes(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Count the rows of each normalised text among those whose fingerprint repeats; copies meet as one row per task first."""
+    """Count the rows of each normalised text among those whose fingerprint is in the checkpointed ``repeated``.
+
+    A Bloom filter of bounded size keeps other texts where they are; copies meet as one row per task first.
+    """
 
     def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -156,7 +179,8 @@ def texts_by_bytes(docs: DataFrame, repeated: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([prints, pa.array(texts, pa.binary())], [FP, "_norm"])
 
     texts = docs.select("text").mapInArrow(normalise, f"{FP} long, _norm binary").withColumn("_norm", F.col("_norm").cast("string"))
-    counts = texts.join(repeated, FP).groupBy(FP, "_norm").agg(F.count(F.lit(1)).alias("_bytes_n"))
+    routed = with_possible(texts, F.col(FP), repeated, FP).filter("_possible").drop("_possible")
+    counts = routed.join(small(repeated), FP, "left_semi").groupBy(FP, "_norm").agg(F.count(F.lit(1)).alias("_bytes_n"))
     return counts.select(FP, F.sha2(F.col("_norm").cast("binary"), 256).alias(SHA), "_bytes_n")
 
 
@@ -168,8 +192,7 @@ def digest_rows(docs: DataFrame) -> DataFrame:
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     digests = digest_rows(docs)
-    groups = duplicate_groups(docs, digests)
-    joined = digests.join(groups, [FP, SHA], "left")
+    joined = digests.join(small(duplicate_groups(docs, digests)), [FP, SHA], "left")
     alone = F.col("group_size").isNull()
     return joined.select(
         "doc_id",
@@ -181,13 +204,24 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns kept."""
+    """``docs`` with one row of each group of equal texts, all columns kept.
+
+    Texts stay where they are while the table of groups is small enough to be broadcast. Beyond that, a Bloom filter
+    parts the texts that may have a copy, which meet their group by shuffling, from all others.
+    """
     digests = digest_rows(docs)
     groups = duplicate_groups(docs, digests)
-    again = digests.join(groups, [FP, SHA]).filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(FP, SHA).agg(F.count(F.lit(1)).alias("_ties"))
+    again = digests.join(small(groups), [FP, SHA]).filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(FP, SHA).agg(F.count(F.lit(1)).alias("_ties"))
     marked = checkpointed(groups.join(again, [FP, SHA]).select(FP, SHA, F.col("keep_id").alias("_keep"), "_ties"))
-    joined = with_digests(docs).join(marked, [FP, SHA], "left")
+    rows, alone = with_digests(docs), None
+    if marked.count() > BROADCAST_ROWS:
+        parted = with_possible(rows, F.col(FP), marked, FP)
+        rows, alone = parted.filter("_possible").drop("_possible"), parted.filter("not _possible").select(*docs.columns)
+    joined = rows.join(small(marked), [FP, SHA], "left")
     stays = joined.filter(F.col("_ties").isNull() | F.col("doc_id").eqNullSafe(F.col("_keep")))
     once = stays.filter("_ties is null or _ties = 1").select(*docs.columns)
-    tied = stays.filter("_ties > 1").dropDuplicates([FP, SHA]).select(*docs.columns)
-    return once.unionByName(tied)
+    if marked.filter("_ties > 1").isEmpty():
+        out = once
+    else:
+        out = once.unionByName(stays.filter("_ties > 1").dropDuplicates([FP, SHA]).select(*docs.columns))
+    return out if alone is None else out.unionByName(alone)
