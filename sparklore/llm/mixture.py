@@ -9,6 +9,7 @@ so no row exceeds three times its size and reruns agree. Null texts have size 0;
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -26,19 +27,34 @@ MOST_REPEATS = 3
 
 
 def sainte_lague(values: np.ndarray, seats: int) -> np.ndarray:
-    """Seats for each value by the highest quotients value / (2k + 1); ties go to the earlier value."""
+    """Seats for each value by the highest quotients value / (2k + 1); ties go to the earlier value.
+
+    The divisor that gives no more than ``seats`` is found by halving an interval, and only the last seats, at most about
+    one for each value, are contested one by one; nothing grows with the number of seats.
+    """
     values = np.asarray(values, float)
     total = values.sum()
     if seats <= 0 or total <= 0:
         return np.zeros(len(values), np.int64)
-    step = total / seats
-    while (np.floor(values / step + 0.5)).sum() < seats + 1:
-        step *= 0.999
-    upper = (np.floor(values / step + 0.5)).astype(np.int64) + 1
-    owner = np.repeat(np.arange(len(values)), upper)
-    turn = np.arange(len(owner)) - np.repeat(np.cumsum(upper) - upper, upper)
-    best = np.lexsort((turn, owner, -(values[owner] / (2 * turn + 1))))[:seats]
-    return np.bincount(owner[best], minlength=len(values))
+    rounded = lambda step: np.floor(values / step + 0.5).astype(np.int64)
+    low, high = total / (seats + len(values) + 1), 4 * total  # too many or just enough, and none
+    for _ in range(200):
+        middle = (low + high) / 2
+        if not low < middle < high:
+            break
+        if rounded(middle).sum() > seats:
+            low = middle
+        else:
+            high = middle
+    # one less for every value, so that a rounding of the divisor gives nobody a seat that another has won
+    given = np.maximum(rounded(high) - 1, 0)
+    contest = [(-v / (2 * int(k) + 1), i) for i, (v, k) in enumerate(zip(values.tolist(), given.tolist(), strict=True)) if v > 0]
+    heapq.heapify(contest)
+    for _ in range(seats - int(given.sum())):
+        _, i = contest[0]
+        given[i] += 1
+        heapq.heapreplace(contest, (-values[i] / (2 * int(given[i]) + 1), i))
+    return given
 
 
 def _seed_number(text: Column) -> Column:
