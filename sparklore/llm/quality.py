@@ -2,7 +2,7 @@
 
 A document's ``source`` is its host. Base rules are absolute: fewer than 20 words, or over 30 % of the words in 8-word
 windows that the text repeats. Every host's rate of documents that fail a base rule or a strict one is shrunk toward all
-hosts by a beta prior fitted to the hosts' rates by moments. In a host whose shrunk rate is above ``max_rate``, documents
+hosts by a beta prior fitted to the hosts' counts by moments. In a host whose shrunk rate is above ``max_rate``, documents
 that fail a strict rule go too; clean documents stay in any host. A null text has no words; a null source is a host.
 """
 
@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, SPACE_CLASS, checkpointed
+from .common import SPACE_CHARS, SPACE_CLASS, checkpointed, scratch_path
 
 WINDOW = 8
+#: A host is held to the strict rules where its shrunk rate is above one in ten.
+MAX_RATE = 0.1
 #: Hosts up to this many are broadcast (some 50 bytes each); more are joined by shuffling.
 BROADCAST_HOSTS = 100_000
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -63,22 +65,33 @@ def features(docs: DataFrame) -> DataFrame:
     return counted.withColumn("_base_failed", base).withColumn("_strict_failed", strict).drop("_n_lines")
 
 
-def host_verdicts(measured: DataFrame, max_rate: float = 0.5) -> DataFrame:
+def host_verdicts(measured: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     """One row per source: ``_host``, n_docs, n_failed, shrunk_rate and ``host_rejected``.
 
-    The prior's alpha and beta follow from the mean and variance of the hosts' raw rates; where the rates do not vary (or
-    vary more than a beta can) the prior weighs as much as ten documents with the mean rate.
+    The prior is a beta fitted by moments of the beta-binomial: hosts weigh by their documents, and the part of the spread
+    that chance alone gives hosts of their sizes is taken off, so small hosts do not widen it. Where no spread is left the
+    prior weighs as much as all documents; where sizes tell nothing (one document a host) as much as ten.
     """
     failed = (F.col("_base_failed") | F.col("_strict_failed")).cast("long")
     hosts = measured.groupBy(F.col("source").alias("_host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(failed).alias("n_failed"))
-    rate = F.col("n_failed") / F.col("n_docs")
-    moments = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).select("m", F.when((F.col("v") > 0) & (F.col("v") < F.col("m") * (1 - F.col("m"))), F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(10.0).alias("strength")).first()
-    mean, strength = (moments["m"] or 0.0), moments["strength"] or 10.0
+    n, k = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
+    sums = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum(n).alias("n"), F.sum(k).alias("k"), F.sum(n * n).alias("nn"), F.sum(k * k / n).alias("kk")).first()
+    mean, strength = prior(sums["hosts"], sums["n"] or 0.0, sums["k"] or 0.0, sums["nn"] or 0.0, sums["kk"] or 0.0)
     shrunk = (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
     return hosts.withColumn("shrunk_rate", shrunk).withColumn("host_rejected", F.col("shrunk_rate") > max_rate)
 
 
-def judged(docs: DataFrame, measured: DataFrame, max_rate: float = 0.5) -> DataFrame:
+def prior(hosts: int, n: float, k: float, nn: float, kk: float) -> tuple[float, float]:
+    """Mean and weight (alpha + beta) of the prior from the sums over hosts of 1, n, k, n * n and k * k / n."""
+    mean = k / n if n else 0.0
+    free = (n - nn / n) - (hosts - 1) if n else 0.0
+    if not 0 < mean < 1 or free <= 0:
+        return mean, 10.0
+    alike = ((kk - n * mean * mean) / (mean * (1 - mean)) - (hosts - 1)) / free
+    return mean, min(1 / alike - 1, n) if alike > 0 else n
+
+
+def judged(docs: DataFrame, measured: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     """``docs`` with features (computed here) joined with the verdicts of the hosts in ``measured``; adds ``_kept``."""
     hosts = checkpointed(host_verdicts(measured, max_rate).select("_host", "host_rejected"))
     if hosts.count() <= BROADCAST_HOSTS:
@@ -87,14 +100,18 @@ def judged(docs: DataFrame, measured: DataFrame, max_rate: float = 0.5) -> DataF
     return joined.withColumn("_kept", ~F.col("_base_failed") & ~(F.col("host_rejected") & F.col("_strict_failed"))).drop("_host", "host_rejected")
 
 
-def quality_report(docs: DataFrame, max_rate: float = 0.5) -> DataFrame:
-    """doc_id, the counts, base_failed and kept for every document."""
+def quality_report(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
+    """doc_id, the counts, base_failed and kept for every document; rows that repeat are judged alike, each for itself."""
     measured = checkpointed(features(docs.select("doc_id", "text", "source")).drop("text"))
     out = judged(measured, measured, max_rate)
     return out.select("doc_id", *[F.col(f"_{x}").alias(x) for x in FEATURES], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
-def keep_good(docs: DataFrame, max_rate: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that the rules reject, all columns kept. The host table is small; features are computed twice instead of moving texts."""
-    measured = checkpointed(features(docs.select("text", "source")).select("source", "_base_failed", "_strict_failed"))
-    return judged(features(docs), measured, max_rate).filter("_kept").select(*docs.columns)
+def keep_good(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
+    """``docs`` without the rows that the rules reject, all columns kept. Rows are written once with their two flags, as Parquet
+    in the shared folder, so features are computed once; texts that fail a base rule go at once and are not written."""
+    flagged = features(docs).drop(*[f"_{x}" for x in FEATURES])
+    path = scratch_path(docs.sparkSession, "judged")
+    flagged.withColumn("text", F.when(~F.col("_base_failed"), F.col("text"))).select(*docs.columns, "_base_failed", "_strict_failed").write.parquet(path)
+    written = docs.sparkSession.read.parquet(path)
+    return judged(written, written, max_rate).filter("_kept").select(*docs.columns)

@@ -84,9 +84,11 @@ f AS (SELECT d.rid, doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
 r AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   10 * n_symbols > n_words OR word_chars > 15 * n_words OR 3 * n_dup_lines > n_lines AS strict_failed FROM f),
 h AS (SELECT source, count(*) AS n, CAST(count_if(base_failed OR strict_failed) AS BIGINT) AS k FROM r GROUP BY source),
-m AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM h),
-b AS (SELECT m, CASE WHEN v > 0 AND v < m * (1 - m) THEN m * (1 - m) / v - 1 ELSE 10.0 END AS s FROM m),
-x AS (SELECT source, (k + m * s) / (n + s) > 0.5 AS host_rejected FROM h, b)
+a AS (SELECT CAST(count(*) AS DOUBLE) AS h, CAST(sum(n) AS DOUBLE) AS nt, CAST(sum(k) AS DOUBLE) AS kt, CAST(sum(n * n) AS DOUBLE) AS nn, sum(CAST(k AS DOUBLE) * k / n) AS kk FROM h),
+b0 AS (SELECT kt / nt AS m, nt, h, (nt - nn / nt) - (h - 1) AS free, kk FROM a),
+b1 AS (SELECT m, nt, CASE WHEN m > 0 AND m < 1 AND free > 0 THEN ((kk - nt * m * m) / (m * (1 - m)) - (h - 1)) / free END AS alike FROM b0),
+b AS (SELECT m, CASE WHEN alike IS NULL THEN 10.0 WHEN alike > 0 THEN least(1 / alike - 1, nt) ELSE nt END AS s FROM b1),
+x AS (SELECT source, (k + m * s) / (n + s) > {quality.MAX_RATE} AS host_rejected FROM h, b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (host_rejected AND strict_failed) AS kept
 FROM r JOIN x ON x.source IS NOT DISTINCT FROM r.source""",
