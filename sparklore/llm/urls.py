@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed, with_possible
+
 #: Verdict, host, path of each rule.
 RULES = (
     ("block", "com", "/en/"),
@@ -21,10 +23,6 @@ RULES = (
 TRACKING = "^(utm_[a-z]+|ref|gclid|fbclid)(=|$)"
 #: Symbols that mark a junk title.
 JUNK_TITLE = "<title>[^<]*(%%%|###|[*][*][*]|[$][$][$]|&&&)[^<]*</title>"
-#: Words of 64 bits in the filter. The size is fixed, so its broadcast is bounded whatever the list's length; a list too
-#: long for it lets more rows through to the exact join and changes no verdict.
-BLOCKS = 1 << 15
-
 
 def host(url: Column) -> Column:
     return F.coalesce(F.translate(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
@@ -55,38 +53,24 @@ def matched_rule(host_column: Column, path_column: Column) -> tuple[Column, Colu
     return rule, verdict
 
 
-def _bits(key: Column) -> tuple[Column, Column]:
-    """A URL's block and its four bits in the block's word."""
-    h, g = F.xxhash64(key), F.xxhash64(key, F.lit("bits"))
-    one = F.lit(1).cast("long")
-    mask = None
-    for shift in (0, 6, 12, 18):
-        bit = F.call_function("shiftleft", one, F.shiftrightunsigned(g, shift).bitwiseAND(F.lit(63)).cast("int"))
-        mask = bit if mask is None else mask.bitwiseOR(bit)
-    return F.pmod(h, F.lit(BLOCKS)).cast("int"), mask
-
-
-def bloom_words(listed: DataFrame) -> DataFrame:
-    """(block, word): at most BLOCKS rows, whatever the length of the list."""
-    block, mask = _bits(F.col("canonical"))
-    return listed.select(block.alias("block"), mask.alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("word"))
-
-
 def junk_listed(pages: DataFrame) -> DataFrame:
     """The list of the query: canonical URLs of pages whose title is symbol junk."""
     return pages.filter(F.col("html").rlike(JUNK_TITLE)).select(canonical(F.col("url")).alias("canonical")).filter("canonical <> ''").distinct()
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame) -> DataFrame:
-    """page_id, host, path, rule, verdict; ``listed`` has a column ``canonical``."""
+    """page_id, host, path, rule, verdict; ``listed`` has a column ``canonical``.
+
+    The list is computed once; the filter's size follows its length, up to the bound of ``bloom_size``. URLs that a rule
+    decides or the filter rules out are done; only the rest meets the list in a join, which has the last word.
+    """
+    listed = checkpointed(listed.select("canonical").distinct())
     url = F.col("url")
     rows = pages.select("page_id", host(url).alias("host"), path(url).alias("path"), canonical(url).alias("_canonical"))
     rule, ruled = matched_rule(F.col("host"), F.col("path"))
-    block, mask = _bits(F.col("_canonical"))
-    probed = rows.withColumn("rule", rule).withColumn("_ruled", ruled).withColumn("_block", block).withColumn("_mask", mask).join(F.broadcast(bloom_words(listed)), F.col("_block") == F.col("block"), "left")
-    possible = F.col("_ruled").isNull() & (F.coalesce(F.col("word"), F.lit(0).cast("long")).bitwiseAND(F.col("_mask")) == F.col("_mask"))
-    marked = probed.withColumn("_key", F.when(possible, F.col("_canonical")))
+    marked = with_possible(rows.withColumn("rule", rule).withColumn("_ruled", ruled), F.col("_canonical"), listed, "canonical")
+    probe = F.col("_ruled").isNull() & F.col("_possible")
     out = ["page_id", "host", "path", "rule"]
-    passed = marked.filter("_key is null").select(*out, F.coalesce("_ruled", F.lit("allow")).alias("verdict"))
-    hits = marked.filter("_key is not null").join(listed.select(F.col("canonical").alias("_listed")), F.col("_key") == F.col("_listed"), "left")
+    passed = marked.filter(~probe).select(*out, F.coalesce("_ruled", F.lit("allow")).alias("verdict"))
+    hits = marked.filter(probe).join(listed.withColumnRenamed("canonical", "_listed"), F.col("_canonical") == F.col("_listed"), "left")
     return passed.unionByName(hits.select(*out, F.when(F.col("_listed").isNull(), "allow").otherwise("block").alias("verdict")))
