@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import BROADCAST_ROWS, checkpointed, slices, small, with_possible
 
 MIN_REVISIT_BYTES = 100
 ARCHIVE_BYTES = 1 << 20
@@ -151,13 +151,22 @@ def read_archive(data: bytes) -> Iterator[dict]:
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, _digest and _first (the page that this one revisits, or null). Hot payloads are pre-aggregated."""
+    """page_id, url, html, _digest and _first (the page that this one revisits, or null).
+
+    Hot payloads are pre-aggregated. The table of repeated payloads is broadcast where it is small; beyond that, pages that
+    a Bloom filter rules out stay where they are.
+    """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     digest = F.sha2(F.col("html").cast("binary"), 256)
     large = F.octet_length("html") >= MIN_REVISIT_BYTES
     groups = rows.filter(large).groupBy(digest.alias("_same")).agg(F.min("page_id").alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1 and _least is not null").drop("_n")
-    joined = rows.withColumn("_digest", digest).join(groups, F.col("_digest") == F.col("_same"), "left")
-    return joined.select("page_id", "url", "html", "_digest", F.when(~F.col("page_id").eqNullSafe(F.col("_least")), F.col("_least")).alias("_first"))
+    groups, hashed, alone = checkpointed(groups), rows.withColumn("_digest", digest), None
+    if groups.count() > BROADCAST_ROWS:
+        parted = with_possible(hashed, F.col("_digest"), groups, "_same")
+        hashed, alone = parted.filter("_possible"), parted.filter("not _possible").select("page_id", "url", "html", "_digest", F.lit(None).cast("long").alias("_first"))
+    joined = hashed.join(small(groups), F.col("_digest") == F.col("_same"), "left")
+    out = joined.select("page_id", "url", "html", "_digest", F.when(~F.col("page_id").eqNullSafe(F.col("_least")), F.col("_least")).alias("_first"))
+    return out if alone is None else out.unionByName(alone)
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
