@@ -8,13 +8,13 @@ meet on partition values (t = 0) or on values with t bits masked, and are verifi
 fingerprints take part; copies follow their fingerprint. A bucket that outgrows a task is split again by a plain
 pigeonhole over other blocks of bits, which loses no link. Classes are found by alternating stars in checkpointed rounds.
 
-With ``total``, every text has a second fingerprint of the same shingles under another hash. Either half is probed at
-``radius``, and a pair is a candidate if it is within ``radius`` in a half and within ``total`` bits of 128 over both: a wide
-radius finds near copies, and the second half keeps chance hits out at any corpus size. Texts of one first fingerprint are
-one class; the least of their second ones stands for it. With ``similarity`` a candidate links only if the sets of shingles
-of both (of the row with the least doc_id in a class) have that Jaccard similarity or more. Buckets of up to 16 classes, and
-larger ones with few candidates, give them all; others give a tree of least distances, so that no group is expanded into all
-pairs. Where a candidate fails and leaves classes apart, all other candidates between their rows are tried too.
+Near duplicates at a similarity of shingle sets (``drop_near_duplicates``) need more than one fingerprint of the whole text:
+at a Jaccard similarity of 0.8 it differs in about ten of 64 bits, and no probe of that radius finds nearly all such pairs
+at a cost that stays linear. So a text's set of shingles is dealt by hash into parts of three to six shingles, the first PARTS
+parts get a SimHash each, and texts meet in a bucket where two part fingerprints link at RADIUS or fewer bits, by the same
+pigeonhole. Most parts of similar texts are equal, so a pair of 0.8 misses all buckets with a chance below one in a hundred.
+Members of a bucket are then held against each other on their whole sets of shingles; only that check links them. Texts
+with equal sets are one class; a group of any size is compared without emitting its pairs.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, slices
+from .common import BROADCAST_ROWS, checkpointed, slices, small, with_possible
 
 BITS = 64
 SHINGLE_WORDS = 3
@@ -39,13 +40,14 @@ RADIUS = 2
 #: Fingerprints that one task compares at most; larger buckets are split.
 BUCKET = 4096
 PARTITION_CHOICES = (2, 3, 4, 5, 6)
-#: Cost of moving a key against that of verifying a candidate pair, row by row and in blocks of rows.
+#: Cost of moving a key against that of verifying a candidate pair.
 KEY_COST = 40.0
-BLOCK_KEY_COST = 300.0
-#: Rows of a bucket that are held against its others at once.
-BLOCK = 256
-#: Rows of a block whose shingles meet those of another block in a task, where a failed candidate leaves classes apart.
+#: Shingles in a part of a text at most, on average, and parts of a text that get a fingerprint.
+PART_SHINGLES = 6
+PARTS = 16
+#: Rows that are held against each other in a task; rows of a larger bucket that every one of its blocks meets.
 TRIED = 1024
+PIVOTS = 8
 SECOND_SALT = 0xD1B54A32D192ED03
 
 
@@ -77,24 +79,16 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
     return majority(shingle_hashes(text, words))
 
 
-def fingerprint_pair(text: bytes, words: int) -> tuple[int, int]:
-    """Two SimHashes of the same shingles: that of ``fingerprint`` and one of re-mixed hashes."""
-    hashes = shingle_hashes(text, words)
-    return majority(hashes), majority(_mix(hashes ^ np.uint64(SECOND_SALT)))
-
-
-def with_fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, name: str = "_simhash", second: str | None = None) -> DataFrame:
-    """All columns of ``docs`` and the fingerprint as a (signed) long, with ``second`` also the second one."""
-    names = [name] if second is None else [name, second]
+def with_fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, name: str = "_simhash") -> DataFrame:
+    """All columns of ``docs`` and the fingerprint as a (signed) long."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            prints = [(fingerprint(x or b"", words),) if second is None else fingerprint_pair(x or b"", words) for x in texts]
-            columns = np.array(prints, np.uint64).reshape(-1, len(names)).view(np.int64).T
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(c)) for c in columns)], [*batch.schema.names, *names])
+            prints = np.array([fingerprint(x or b"", words) for x in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], [*batch.schema.names, name])
 
-    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)]))
+    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def bit_statistics(prints: DataFrame, by: str = "fp") -> tuple[int, np.ndarray, np.ndarray]:
@@ -214,13 +208,6 @@ def split_keys(rows: DataFrame, level: int, radius: int, by: str = "fp") -> Data
     return rows.mapInPandas(spread, _keyed_schema(rows))
 
 
-def linked(values: np.ndarray, others: np.ndarray | None, at: np.ndarray | int, to: np.ndarray, radius: int, total: int | None) -> np.ndarray:
-    """Whether the rows ``at`` and ``to`` link: in the probed half, and with ``total`` over both."""
-    apart = np.bitwise_count(values[at] ^ values[to])
-    near = apart <= radius
-    return near if total is None else near & (apart.astype(np.int16) + np.bitwise_count(others[at] ^ others[to]) <= total)
-
-
 def spanning_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Index pairs that connect what is connected among the rows of a bucket: at most one fewer than rows."""
     links, left = [], np.arange(len(values))
@@ -229,74 +216,39 @@ def spanning_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
         while len(frontier) and len(left):
             found = np.zeros(len(left), bool)
             for row in frontier:
-                near = ~found & linked(values, None, row, left, radius, None)
+                near = ~found & (np.bitwise_count(values[row] ^ values[left]) <= radius)
                 links += [(int(row), int(x)) for x in left[near]]
                 found |= near
             frontier, left = left[found], left[~found]
     return links
 
 
-def near_pairs(values: np.ndarray, others: np.ndarray, radius: int, total: int) -> np.ndarray:
-    """Index pairs of candidates among the rows of a bucket: all of them where there are up to four for each row, else those
-    of ``nearest_links``."""
-    found, count = [], 0
-    for at in range(0, len(values), BLOCK):
-        i, j = np.nonzero(np.bitwise_count(values[at : at + BLOCK, None] ^ values[None, at:]) <= radius)
-        i, j = at + i[i < j], at + j[i < j]
-        kept = linked(values, others, i, j, radius, total)
-        found.append(np.stack([i[kept], j[kept]], axis=1))
-        count += len(found[-1])
-        if count > 4 * len(values):
-            return np.array(nearest_links(values, others, radius, total), np.int64).reshape(-1, 2)
-    return np.concatenate(found)
-
-
-def nearest_links(values: np.ndarray, others: np.ndarray, radius: int, total: int) -> list[tuple[int, int]]:
-    """Index pairs of a spanning forest of least distances over both halves (Prim's): it connects at every distance what is
-    connected at that distance, so few links of close rows hang on a candidate that fails the check of shingles."""
-    far = 2 * BITS + 1
-    distance, parent, free = np.full(len(values), far), np.zeros(len(values), np.int64), np.ones(len(values), bool)
-    links, at = [], 0
-    for _ in range(len(values) - 1):
-        free[at] = False
-        apart = np.bitwise_count(values ^ values[at]).astype(np.int64)
-        both = apart + np.bitwise_count(others ^ others[at])
-        closer = (apart <= radius) & (both <= total) & (both < distance)
-        distance[closer], parent[closer] = both[closer], at
-        at = int(np.argmin(np.where(free, distance, far + 1)))
-        if distance[at] < far:
-            links.append((int(parent[at]), at))
-    return links
-
-
-def bucket_links(rows: DataFrame, radius: int, by: str = "fp", total: int | None = None) -> DataFrame:
+def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
     """(a, b) verified links among the rows that share a key; rows come sorted by key and buckets are compared at once."""
-    columns = ["key", by, "fp"] if total is None else ["key", by, "fp", "second" if by == "fp" else "fp"]
 
     def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [np.empty(0, np.int64) for _ in columns]
+        held = [np.empty(0, np.int64), np.empty(0, np.int64)]
 
-        def found(keys: np.ndarray, probed: np.ndarray, nodes: np.ndarray, *rest: np.ndarray) -> pd.DataFrame:
-            values, others = probed.view(np.uint64), rest[0].view(np.uint64) if rest else None
+        def found(keys: np.ndarray, nodes: np.ndarray) -> pd.DataFrame:
+            values = nodes.view(np.uint64)
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             sizes = np.diff(np.r_[first, len(keys)])
-            small = np.repeat(sizes, sizes) <= 16
+            few = np.repeat(sizes, sizes) <= 16
             pairs = []
             for gap in range(1, int(sizes[sizes <= 16].max(initial=1))):
-                at = np.flatnonzero(small[:-gap] & (keys[gap:] == keys[:-gap]))
-                at = at[linked(values, others, at, at + gap, radius, total)]
+                at = np.flatnonzero(few[:-gap] & (keys[gap:] == keys[:-gap]))
+                at = at[np.bitwise_count(values[at] ^ values[at + gap]) <= radius]
                 pairs.append(np.stack([at, at + gap], axis=1))
             for k in np.flatnonzero(sizes > 16):
                 part = slice(first[k], first[k] + sizes[k])
                 order = np.argsort(nodes[part])  # the same tree for the same rows under every key
-                inner = spanning_links(values[part][order], radius) if others is None else near_pairs(values[part][order], others[part][order], radius, total)
-                pairs.append(first[k] + order[np.array(inner, np.int64).reshape(-1, 2)])
+                pairs.append(first[k] + order[np.array(spanning_links(values[part][order], radius), np.int64).reshape(-1, 2)])
             ends = nodes[np.concatenate(pairs)] if pairs else np.empty((0, 2), np.int64)
             ends = ends[ends[:, 0] != ends[:, 1]]
             return pd.DataFrame({"a": ends.min(axis=1), "b": ends.max(axis=1)})
 
         for frame in frames:
-            held = [np.r_[old, frame[c].to_numpy(np.int64)] for old, c in zip(held, columns, strict=True)]
+            held = [np.r_[old, frame[c].to_numpy(np.int64)] for old, c in zip(held, ("key", "fp"), strict=True)]
             cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if cut:
                 yield found(*(x[:cut] for x in held))
@@ -308,33 +260,27 @@ def bucket_links(rows: DataFrame, radius: int, by: str = "fp", total: int | None
     return dealt.mapInPandas(link, "a long, b long").distinct()
 
 
-def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, levels: int = 8, total: int | None = None) -> DataFrame:
-    """Verified links (a, b) that connect all distinct fingerprints (column ``fp``; with ``total`` also ``second``)."""
-    prints = prints.select("fp") if total is None else prints.select("fp", "second")
-    parts = []
-    for by in prints.columns:
-        n, mean, correlation = bit_statistics(prints, by)
-        rows, level = probe_keys(prints, choose_plan(n, mean, correlation, radius, KEY_COST if total is None else BLOCK_KEY_COST), by), 0
-        while True:
-            # a bucket beyond the bound has at least that many rows; few keys do, so this table is tiny
-            large = checkpointed(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).select("key"))
-            if level == levels or large.isEmpty():
-                parts.append(bucket_links(rows, radius, by, total))
-                break
-            parts.append(bucket_links(rows.join(large, "key", "left_anti"), radius, by, total))
-            rows = checkpointed(split_keys(rows.join(large, "key"), level, radius, by))
-            level += 1
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.distinct() if len(parts) > 1 else out
-
-
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, levels: int = 8) -> DataFrame:
+    """Verified links (a, b) that connect all distinct fingerprints (column ``fp``)."""
+    prints = prints.select("fp")
+    n, mean, correlation = bit_statistics(prints)
+    rows, parts = probe_keys(prints, choose_plan(n, mean, correlation, radius)), []
+    for level in range(levels + 1):
+        # a bucket beyond the bound has at least that many rows; few keys do, so this table is tiny
+        large = checkpointed(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).select("key"))
+        if level == levels or large.isEmpty():
+            parts.append(bucket_links(rows, radius))
+            break
+        parts.append(bucket_links(rows.join(large, "key", "left_anti"), radius))
+        rows = checkpointed(split_keys(rows.join(large, "key"), level, radius))
+    return reduce(DataFrame.unionByName, parts).distinct() if len(parts) > 1 else parts[0]
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b): alternating large and small stars until nothing changes."""
     both = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         # large star: neighbours above u hang on the least of u and its neighbours
         around = both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -351,106 +297,184 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return roots.union(both.select(F.col("v"), F.col("v"))).distinct()
 
 
-def linked_sets(edges: DataFrame, chosen: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(fp, shingles) of every fingerprint in ``edges`` (a, b), checkpointed.
+def part_prints(shingles: np.ndarray, similarity: float) -> np.ndarray:
+    """SimHashes of the first PARTS parts of a sorted set of shingle hashes, as (signed) longs.
+
+    The number of parts is a power of two that follows from the set's size; a set of up to PARTS parts has smaller ones. Where a similar set may be so much smaller that it
+    has half as many, the parts of that number come too. A part of a single shingle says little and is left out, unless
+    the whole set has no more parts than these.
+    """
+    mixed = _mix(shingles ^ np.uint64(SECOND_SALT))
+    halvings = lambda x: max(0, math.ceil(math.log2(x)))
+    depth = lambda n: max(halvings(n / PART_SHINGLES), min(halvings(2 * n / PART_SHINGLES), halvings(PARTS)))
+    found = []
+    for level in {depth(len(shingles)), depth(math.ceil(similarity * len(shingles)))} if len(shingles) else ():
+        part = mixed >> np.uint64(64 - level) if level else np.zeros(len(mixed), np.uint64)
+        order = np.argsort(part, kind="stable")
+        order = order[: np.searchsorted(part[order], PARTS)]
+        if not len(order):
+            continue
+        first = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]])
+        sizes = np.diff(np.r_[first, len(order)])
+        bits = np.unpackbits(shingles[order].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+        prints = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view("<i8").ravel()
+        found.append(prints[(sizes > 1) | (1 << level <= PARTS)])
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+
+
+def sketches(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """doc_id, _text (the text's xxhash64), _set (128-bit hash of the set of shingles) and _parts (part fingerprints)."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(shingle_hashes(x or b"", words)) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            names = pa.array([xxhash.xxh3_128_hexdigest(x.tobytes()) for x in sets], pa.string())
+            parts = pa.array([part_prints(x, similarity) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_text"), names, parts], ["doc_id", "_text", "_set", "_parts"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_text"), "text")
+    return rows.mapInArrow(sketch, "doc_id long, _text long, _set string, _parts array<long>")
+
+
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """(bucket, class), checkpointed: classes with a part fingerprint that links with one of another class."""
+    members = classes.select("class", F.explode("_parts").alias("fp"))
+    close = checkpointed(links(members.select("fp").distinct()))
+    if close.isEmpty():
+        members = members.withColumnRenamed("fp", "bucket")
+    else:
+        roots = checkpointed(components(close))
+        members = members.join(small(roots), F.col("fp") == F.col("node"), "left").select("class", F.coalesce("root", "fp").alias("bucket"))
+    met = checkpointed(members.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("bucket"))
+    return checkpointed(members.join(small(met), "bucket").select("bucket", "class").distinct())
+
+
+def shingle_sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
+    """(class, shingles), checkpointed, of the checkpointed ``chosen`` (class, _id, _hash), which name a row of ``docs`` each.
 
-    ``chosen`` (fp, _id, _text) names the row of ``docs`` that stands for a fingerprint; only linked rows' shingles are kept.
+    Texts stay where they are while ``chosen`` is small enough to be broadcast; beyond that a Bloom filter keeps others back.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices([batch], 64):
                 sets = [np.unique(shingle_hashes(x or b"", words)).view(np.int64) for x in part.column("text").cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("fp"), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(sets, pa.list_(pa.int64()))], ["class", "shingles"])
 
-    ends = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct()
-    linked_rows = chosen.join(ends, "fp")
-    texts = docs.select(F.col("doc_id").alias("_doc"), "text", F.xxhash64("text").alias("_hash"))
-    found = texts.join(linked_rows, (texts["_hash"] == linked_rows["_text"]) & texts["_doc"].eqNullSafe(linked_rows["_id"]))
-    return checkpointed(found.select("fp", "text").mapInArrow(cut, "fp long, shingles array<long>"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text", F.xxhash64("text").alias("_text"))
+    if chosen.count() > BROADCAST_ROWS:
+        texts = with_possible(texts, F.col("_text"), chosen, "_hash").filter("_possible")
+    found = texts.join(small(chosen), (F.col("_text") == F.col("_hash")) & F.col("_doc").eqNullSafe(F.col("_id")))
+    # rows that repeat id and text give a class the same set again
+    return checkpointed(found.select("class", "text").mapInArrow(cut, "class long, shingles array<long>").dropDuplicates(["class"]))
 
 
-def confirmed(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``edges`` (a, b) whose ``sets`` (fp, shingles) have a Jaccard similarity of at least ``similarity``."""
-    left, right = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"_{c}")) for c in "ab")
-    shared = F.size(F.array_intersect("_a", "_b"))
-    close = shared >= F.lit(similarity) * (F.size("_a") + F.size("_b") - shared)
-    return edges.join(left, "a").join(right, "b").filter(close).select("a", "b").distinct()
-
-
-def similar_links(values: np.ndarray, others: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, radius: int, total: int, similarity: float) -> list[tuple[int, int]]:
-    """Index pairs that connect what candidates of ``similarity`` or more connect; rows of one label are connected already.
-    Every candidate between rows still apart is checked, whichever half it is within ``radius`` in."""
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+def similar_links(sets: list[np.ndarray], labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Index pairs that connect what a Jaccard similarity of ``similarity`` or more connects; rows of one label are connected
+    already. A row meets all later ones at once through lists of the rows that hold each shingle."""
     sizes = np.array([len(x) for x in sets])
-    stops = np.cumsum(sizes)
-    labels, marked, out = np.unique(labels, return_inverse=True)[1], np.zeros(int(ids.max(initial=-1)) + 1, bool), []
-    for i in range(len(values) - 1):
-        to = np.arange(i + 1, len(values))
-        to = to[labels[to] != labels[i]]
-        to = to[linked(values, others, i, to, radius, total) | linked(others, values, i, to, radius, total)]
-        if not len(to):
-            continue
+    stops, n = np.cumsum(sizes), len(sets)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owners = np.repeat(np.arange(n), sizes)[np.argsort(ids, kind="stable")]
+    starts = np.r_[0, np.cumsum(np.bincount(ids))]
+    labels, out = np.unique(labels, return_inverse=True)[1], []
+    for i in range(n - 1):
+        if (labels == labels[0]).all():
+            break
         own = ids[stops[i] - sizes[i] : stops[i]]
-        marked[own] = True
-        shared = np.array([np.count_nonzero(marked[ids[stops[j] - sizes[j] : stops[j]]]) for j in to])
-        marked[own] = False
-        for j in to[shared >= similarity * (sizes[i] + sizes[to] - shared)]:
+        lengths = starts[own + 1] - starts[own]
+        total = int(lengths.sum())
+        at = np.arange(total) + np.repeat(starts[own] - (np.cumsum(lengths) - lengths), lengths)
+        shared = np.bincount(owners[at], minlength=n)[i + 1 :]
+        near = (labels[i + 1 :] != labels[i]) & (shared >= similarity * (sizes[i] + sizes[i + 1 :] - shared) - 1e-9)
+        for j in (np.flatnonzero(near) + i + 1).tolist():
             if labels[j] != labels[i]:
-                out.append((i, int(j)))
+                out.append((i, j))
                 labels[labels == labels[j]] = labels[i]
     return out
 
 
-def regained(edges: DataFrame, kept: DataFrame, classes: DataFrame, sets: DataFrame, prints: DataFrame, radius: int, total: int, similarity: float, block: int = TRIED) -> DataFrame:
-    """(a, b) confirmed links that ``kept`` lacks because a bucket gave a tree of candidates only.
+def confirmed(units: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), checkpointed: links of ``similarity`` or more that connect the rows (unit, class, label) of each unit.
 
-    Classes of ``kept`` (node, root) with a failed candidate between them form a group, and all candidates of a group are
-    tried. A group of more than ``block`` rows is dealt into blocks; every pair of blocks meets in a task.
+    A unit holds a bounded number of rows, and a task takes its units one after another.
     """
-    roots = [classes.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in "ab"]
-    failed = edges.join(kept, ["a", "b"], "left_anti").join(roots[0], "a", "left").join(roots[1], "b", "left")
-    apart = checkpointed(failed.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).filter("a <> b").distinct())
-    rooted = prints.select("fp", "second").join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    grouped = checkpointed(rooted.join(components(apart).select(F.col("node").alias("root"), F.col("root").alias("group")), "root"))
-    # a failed candidate between two rows alone leaves nothing to try
-    counted = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 2").withColumn("_blocks", F.ceil(F.col("_n") / block))
-    dealt = grouped.join(counted, "group").withColumn("_block", F.pmod(F.xxhash64("fp"), F.col("_blocks")))
-    met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    rows = met.select("group", F.least("_block", "_other").alias("low"), F.greatest("_block", "_other").alias("high"), "fp", "second", "root").join(sets, "fp")
-
-    def link(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("fp", ignore_index=True)
-        nodes = frame["fp"].to_numpy(np.int64)
-        found = similar_links(nodes.view(np.uint64), frame["second"].to_numpy(np.int64).view(np.uint64), list(frame["shingles"]), frame["root"].to_numpy(np.int64), radius, total, similarity)
-        ends = nodes[np.array(found, np.int64).reshape(-1, 2)]
-        return pd.DataFrame({"a": ends.min(axis=1), "b": ends.max(axis=1)})
-
-    return checkpointed(rows.groupBy("group", "low", "high").applyInPandas(link, "a long, b long").distinct())
-
-
-def similar_classes(edges: DataFrame, prints: DataFrame, sets: DataFrame, radius: int, total: int, similarity: float, block: int = TRIED) -> DataFrame:
-    """(node, root) of the classes that candidates of ``similarity`` or more connect; ``edges`` connect all candidates."""
-    kept = checkpointed(confirmed(edges, sets, similarity))
-    classes = checkpointed(components(kept))
-    more = regained(edges, kept, classes, sets, prints, radius, total, similarity, block)
-    return classes if more.isEmpty() else components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-
-
-def near_groups(rows: DataFrame, radius: int = RADIUS, total: int | None = None, docs: DataFrame | None = None, words: int = SHINGLE_WORDS, similarity: float | None = None) -> DataFrame:
-    """Adds component_id, the least doc_id reachable, to checkpointed rows (doc_id, _simhash; with ``total`` also _second).
-    With ``similarity``, candidates are confirmed on the shingles of ``docs`` (rows then have _text, the text's xxhash64).
-    Null ids count only where a group has no other."""
-    second = [] if total is None else [F.min("_second").alias("second")]
-    chosen = [] if similarity is None else [F.min(F.struct("doc_id", "_text")).alias("_row")]
-    prints = checkpointed(rows.groupBy(F.col("_simhash").alias("fp")).agg(F.min("doc_id").alias("least"), *second, *chosen))
-    edges = links(prints, radius, total=total)
-    if similarity is None:
-        classes = components(edges)
-    else:
-        edges = checkpointed(edges)
-        sets = linked_sets(edges, prints.select("fp", F.col("_row.doc_id").alias("_id"), "_row._text"), docs, words)
-        classes = similar_classes(edges, prints, sets, radius, total, similarity)
+
+    def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+
+        def found(frame: pd.DataFrame) -> pd.DataFrame:
+            keys, nodes, labels = (frame[c].to_numpy(np.int64) for c in ("unit", "class", "label"))
+            sets, ends = list(frame["shingles"]), []
+            bounds = [*np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist(), len(keys)]
+            for a, b in itertools.pairwise(bounds):
+                ends += [(nodes[a + i], nodes[a + j]) for i, j in similar_links(sets[a:b], labels[a:b], similarity)] if b - a > 1 else []
+            pairs = np.array(ends, np.int64).reshape(-1, 2)
+            return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
+
+        for frame in frames:
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if not len(held):
+                continue
+            last = int(np.flatnonzero(held["unit"].to_numpy() != held["unit"].iloc[-1]).max(initial=-1)) + 1
+            if last:
+                yield found(held.iloc[:last])
+                held = held.iloc[last:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield found(held)
+
+    dealt = units.join(sets, "class").select("unit", "class", "label", "shingles").repartition("unit").sortWithinPartitions("unit", "class")
+    return checkpointed(dealt.mapInPandas(link, "a long, b long").filter("a <> b").distinct())
+
+
+def similar_classes(shared: DataFrame, sets: DataFrame, similarity: float, block: int = TRIED) -> DataFrame:
+    """(node, root) of the classes that links of ``similarity`` or more among members of a bucket connect.
+
+    Buckets that share classes form a group, whose members are compared in one task where they are ``block`` or fewer. Larger
+    groups are compared bucket by bucket, and a bucket beyond ``block`` in blocks: first each block by itself, along with some
+    pivots of the bucket, then pairs of blocks, but only those that the first round has left in different classes.
+    """
+    least = shared.groupBy("bucket").agg(F.min("class").alias("low"))
+    groups = checkpointed(components(shared.join(least, "bucket").select(F.col("class").alias("a"), F.col("low").alias("b"))))
+    wide = checkpointed(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("root"))
+    key = lambda *parts: F.xxhash64(*parts).alias("unit")
+    units = groups.join(small(wide), "root", "left_anti").select(key(F.lit("group"), F.col("root")), F.col("node").alias("class"), F.col("node").alias("label"))
+    if wide.isEmpty():
+        return components(confirmed(units, sets, similarity))
+    rest = checkpointed(shared.join(groups.join(small(wide), "root").select(F.col("node").alias("class")), "class"))
+    counted = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block))
+    dealt = rest.join(counted, "bucket").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    pivot = F.pmod(F.xxhash64("class", F.lit("pivot")), F.ceil(F.col("n") / PIVOTS)) == 0
+    spread = F.when(pivot & (F.col("blocks") > 1), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own"))
+    first = dealt.select("bucket", "class", F.explode(spread).alias("block"))
+    more = first.select(key(F.lit("bucket"), F.col("bucket"), F.col("block")), "class", F.col("class").alias("label"))
+    edges = confirmed(units.unionByName(more), sets, similarity)
+    hot = dealt.filter("blocks > 1").select("bucket", "class")
+    roots = checkpointed(components(edges))
+    labelled = checkpointed(hot.join(roots, hot["class"] == roots["node"], "left").select("bucket", "class", F.coalesce("root", "class").alias("label")))
+    per_label = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("of_label"))
+    open_buckets = per_label.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.sum(F.when(F.col("of_label") <= block, F.col("of_label")).otherwise(0)).alias("light")).filter("labels > 1")
+    placed = labelled.join(per_label, ["bucket", "label"]).join(open_buckets, "bucket")
+    heavy = F.col("of_label") > block
+    # a block holds rows of one large label, or small labels dealt by hash
+    own = F.struct(
+        F.when(heavy, F.col("label")).alias("of"),
+        F.when(heavy, F.pmod(F.xxhash64("class"), F.ceil(F.col("of_label") / block))).otherwise(F.pmod(F.xxhash64("label"), F.greatest(F.lit(1), F.ceil(F.col("light") / block)))).alias("part"),
+    )
+    placed = checkpointed(placed.select("bucket", "class", "label", own.alias("own")))
+    others = placed.groupBy("bucket").agg(F.collect_set("own").alias("all"))
+    met = placed.join(others, "bucket").select("bucket", "class", "label", "own", F.explode("all").alias("other"))
+    met = met.filter(F.col("own.of").isNull() | ~F.col("own.of").eqNullSafe(F.col("other.of")))
+    tried = met.select(key(F.lit("blocks"), F.col("bucket"), F.least("own", "other"), F.greatest("own", "other")), "class", "label")
+    return components(edges.unionByName(confirmed(tried, sets, similarity)))
+
+
+def near_groups(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Adds component_id, the least doc_id reachable, to checkpointed rows (doc_id, _simhash). Null ids count only where a
+    group has no other."""
+    prints = checkpointed(rows.groupBy(F.col("_simhash").alias("fp")).agg(F.min("doc_id").alias("least")))
+    classes = components(links(prints, radius))
     rooted = prints.join(classes, prints["fp"] == classes["node"], "left").withColumn("_class", F.coalesce("root", "fp"))
     smallest = rooted.filter("root is not null").groupBy("_class").agg(F.min("least").alias("_smallest"))
     moved = rooted.filter("root is not null").join(smallest, "_class").select(F.col("fp").alias("_moved"), "_smallest")
@@ -465,9 +489,35 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("_simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int, radius: int, total: int | None = None, similarity: float | None = None) -> DataFrame:
-    """``docs`` with the row of the least doc_id of each group, all columns kept. Rows that share that id all stay."""
-    second = None if total is None else "_second"
-    rows = checkpointed(with_fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("_text")), words, second=second).drop("text"))
-    gone = near_groups(rows, radius, total, docs, words, similarity).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_gone")).distinct()
-    return docs.withColumn("_text", F.xxhash64("text")).join(gone, (F.col("_text") == F.col("_gone")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
+def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, _text, keep), checkpointed: every row, and the row (absent, doc_id, _text) of its group that stays: that of the
+    least doc_id, or of the least text hash where ids repeat. Null ids stay only where a group has no other."""
+    row = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "_text")
+    rows = checkpointed(sketches(docs, words, similarity))
+    classes = rows.groupBy("_set").agg(F.min(row).alias("_row"), F.first("_parts").alias("_parts"))
+    classes = checkpointed(classes.withColumn("class", F.monotonically_increasing_id()))
+    shared = shared_buckets(classes)
+    chosen = checkpointed(shared.select("class").distinct().join(classes, "class").select("class", F.col("_row.doc_id").alias("_id"), F.col("_row._text").alias("_hash")))
+    roots = similar_classes(shared, shingle_sets(docs, chosen, words), similarity)
+    rooted = classes.join(roots, classes["class"] == roots["node"], "left").select("_set", "_row", F.coalesce("root", "class").alias("_root"))
+    keepers = rooted.join(rooted.groupBy("_root").agg(F.min("_row").alias("keep")), "_root").select("_set", "keep")
+    return checkpointed(rows.select("doc_id", "_text", "_set").join(keepers, "_set").select("doc_id", "_text", "keep"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, all columns kept: that of ``similar_rows``; of rows that repeat
+    its id and text, one. Extra columns may have any names but ``_text``, ``_gone``, ``_id`` and ``_hash``."""
+    rows = similar_rows(docs, words, similarity)
+    stays = F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep._text") == F.col("_text"))
+    counted = rows.groupBy("doc_id", "_text").agg(F.count(F.lit(1)).alias("n"), F.first(~stays).alias("_gone"))
+    # what goes, and what stays once of several equal rows
+    marks = checkpointed(counted.filter("_gone or n > 1").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), "_gone"))
+    hashed, alone = docs.withColumn("_text", F.xxhash64("text")), None
+    if marks.count() > BROADCAST_ROWS:
+        parted = with_possible(hashed, F.col("_text"), marks, "_hash")
+        hashed, alone = parted.filter("_possible").drop("_possible"), parted.filter("not _possible").select(*docs.columns)
+    joined = hashed.join(small(marks), (F.col("_text") == F.col("_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    out = joined.filter("_gone is null").select(*docs.columns)
+    if not marks.filter("not _gone").isEmpty():
+        out = out.unionByName(joined.filter("not _gone").dropDuplicates(["_id", "_hash"]).select(*docs.columns))
+    return out if alone is None else out.unionByName(alone)
