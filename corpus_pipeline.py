@@ -11,13 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparklore.llm import exact, mixture, packing, quality, simhash
-from sparklore.llm.common import scratch_path, shielded, table, unshielded
+from sparklore.llm.common import remove_path, scratch_path, shielded, table, unshielded
 
-#: Near-duplicate stage: five-word shingles; a candidate is within the radius in a 64-bit half and within the total over both,
-#: and links at the similarity. Texts of a similarity of 0.8 differ in 19.4 of 128 bits on average, in 28 or fewer nearly always.
+#: Near-duplicate stage: words in a shingle, and the Jaccard similarity of the sets of shingles at which texts link.
 NEAR_WORDS = 5
-NEAR_RADIUS = 8
-NEAR_TOTAL = 28
 NEAR_SIMILARITY = 0.8
 #: Earlier stages leave an executor with several Python workers; each may keep this many words a generation.
 CACHED_WORDS = 50_000
@@ -40,7 +37,7 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", _whole(quality.keep_good)),
     ("exact_dedup", _whole(exact.drop_exact_duplicates)),
-    ("simhash_near_dedup", _whole(lambda docs: simhash.drop_near_duplicates(docs, NEAR_WORDS, NEAR_RADIUS, NEAR_TOTAL, NEAR_SIMILARITY))),
+    ("simhash_near_dedup", _whole(lambda docs: simhash.drop_near_duplicates(docs, NEAR_WORDS, NEAR_SIMILARITY))),
     ("mix_sources", _whole(mixture.apply_mix)),
     ("best_fit_packing", pack_stage),
 ]
@@ -50,10 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is written as Parquet and read again by the next, then removed."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
