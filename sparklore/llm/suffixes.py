@@ -3,7 +3,8 @@
 Every ``length``-byte string contains a gram of GRAM bytes with the least hash; equal strings have it at the same place, so
 comparing suffixes at these anchors finds every repeat. Anchors whose gram occurs once in the corpus are left out. An
 anchor's suffix, followed by its left context read backwards, is a sort key. Each partition sorts its keys, front-codes
-them (shared prefix length and the rest) and sends each hash range its part; a range's sorted runs are combined by a loser
+them (shared prefix length and the rest) and sends each range of the sort order its part (ranges are cut at quantiles of a
+bounded sample, their number follows the input's bytes); a range's sorted runs are combined by a loser
 tree on common prefix lengths, which compares bytes only beyond what is known to agree. Keys with the same gram are then
 neighbours and their common prefixes (to the right) and left contexts tell which bytes repeat.
 
@@ -14,6 +15,7 @@ doc_id and text are documents of their own, hence repeats of each other. Texts s
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -21,15 +23,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices
+from .common import checkpointed, slices, with_possible
 
 LENGTH = 200
 GRAM = 64
+#: Bytes of input for a range of the sort order, and ranges at least and at most (beyond, ranges hold more).
+RANGE_BYTES = 4 << 20
+MIN_RANGES, MOST_RANGES = 32, 1 << 18
+#: The sample that ranges are cut by: texts, grams of a text at most, and grams for each range.
+SAMPLED_TEXTS, GRAMS, SAMPLES = 2000, 32, 4
 #: Texts are searched for anchors in stretches of this many bytes, so positions fit the low bits of a hash.
 STRETCH = 1 << 22
 #: Groups up to this size compare their keys pair by pair in numpy; larger ones compare window hashes, in linear time.
@@ -84,13 +90,38 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def row_key(doc_id: int | None, text: bytes) -> int:
-    seed = 0x5BD1E995 if doc_id is None else (doc_id * 2 + 1) & (2**64 - 1)
-    return xxhash.xxh64_intdigest(text, seed)
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and a key of both. Rows that repeat both share a key."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"))
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
-    return zip(batch.column("doc_id").to_pylist(), (x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()), strict=True)
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+    keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).tolist()
+    return zip(keys, batch.column("text").cast(pa.binary()).to_pylist(), strict=True)
+
+
+def cut_points(texts: DataFrame, length: int, gram: int) -> list[bytes]:
+    """The grams that part the sort order into ranges of about RANGE_BYTES of input each, at most MOST_RANGES.
+
+    They are quantiles of the grams of a bounded sample of texts, drawn by hash: about SAMPLED_TEXTS of them, or SAMPLES for
+    each range, with at most GRAMS grams of a text.
+    """
+    size = texts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    ranges = min(MOST_RANGES, max(MIN_RANGES, (size["bytes"] or 0) // RANGE_BYTES))
+    wanted = max(SAMPLED_TEXTS, ranges * SAMPLES // GRAMS)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = []
+            for _, text in _texts(batch):
+                at = anchors(text, length, gram)[1]
+                found += [text[k : k + gram] for k in at[:: max(1, -(-len(at) // GRAMS))].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["gram"])
+
+    some = texts.filter(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(max(1, size["n"] // wanted))) == 0)
+    grams = sorted(bytes(r["gram"]) for r in some.mapInArrow(take, "gram binary").collect())
+    return sorted({grams[k * len(grams) // ranges] for k in range(1, ranges)}) if grams else []
 
 
 def _ranges(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -111,18 +142,18 @@ def _picks_by_key(picks: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"key": np.array([k for k, _ in rows], np.uint64).view(np.int64), "packed": [p for _, p in rows]})
 
 
-def repeated_anchors(docs: DataFrame, segments: int, length: int, gram: int) -> DataFrame:
+def repeated_anchors(texts: DataFrame, segments: int, length: int, gram: int) -> DataFrame:
     """(key, packed picks): the anchors whose gram occurs twice or more in the corpus."""
     levels = max(1, (segments - 1).bit_length())
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for batch in slices(batches):
-            for doc_id, text in _texts(batch):
+            for key, text in _texts(batch):
                 if len(text) >= length:
                     grams, at, first, last = anchors(text, length, gram)
                     rows = np.empty(len(grams), HASHED)
-                    rows["gram"], rows["key"], rows["at"], rows["left"], rows["right"] = grams, row_key(doc_id, text), at, at - first, last + length - at
+                    rows["gram"], rows["key"], rows["at"], rows["left"], rows["right"] = grams, key, at, at - first, last + length - at
                     found.append(rows)
         if not found:
             return
@@ -158,7 +189,7 @@ def repeated_anchors(docs: DataFrame, segments: int, length: int, gram: int) ->
             picks[name] = both[name]
         return _picks_by_key(picks)
 
-    dealt = docs.select("doc_id", "text").mapInArrow(find, "segment long, settled boolean, packed binary")
+    dealt = texts.select("key", "text").mapInArrow(find, "segment long, settled boolean, packed binary")
     return dealt.groupBy("segment").applyInPandas(join, "key long, packed binary")
 
 
@@ -265,9 +296,11 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[in
 RUN_ROW = np.dtype([("key", "<u8"), ("at", "<u4"), ("left", "<u2"), ("right", "<u2"), ("shared", "<u2"), ("marks", "u1")])
 
 
-def sorted_runs(texts: DataFrame, ranges: int, gram: int) -> DataFrame:
-    """(range, settled, packed) of every partition: front-coded sorted keys for each hash range, and settled picks."""
-    levels = max(1, (ranges - 1).bit_length())
+def sorted_runs(texts: DataFrame, cuts: list[bytes], gram: int) -> DataFrame:
+    """(range, settled, packed) of every partition: front-coded sorted keys for each range of the sort order, and settled picks.
+
+    Ranges follow one another in the order of all keys; keys with one gram fall in one range.
+    """
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         entries: dict[tuple[int, bytes, int], list[tuple[int, int]]] = {}
@@ -277,7 +310,7 @@ def sorted_runs(texts: DataFrame, ranges: int, gram: int) -> DataFrame:
                 chosen = np.frombuffer(b"".join(picks), PICK)
                 for _, at, left, right in chosen.tolist():
                     sort_key = text[at : at + right] + text[at - left : at][::-1]
-                    home = xxhash.xxh64_intdigest(sort_key[:gram]) >> (64 - levels)
+                    home = bisect.bisect_right(cuts, sort_key[:gram])
                     entries.setdefault((home, sort_key, left), []).append((key, at))
         rows, settled = [], []
         for home, sort_key, left in sorted(entries):
@@ -294,7 +327,7 @@ def sorted_runs(texts: DataFrame, ranges: int, gram: int) -> DataFrame:
             head["left"], head["right"], head["marks"], head["shared"] = [r[2] for r in some], [r[3] for r in some], [r[5] for r in some], shared
             yield pd.DataFrame({"range": [home], "settled": [False], "packed": [zstandard.ZstdCompressor(level=3).compress(len(some).to_bytes(4, "little") + head.tobytes() + rest)]})
         ready = np.array(settled, PICK)
-        step = max(1, -(-len(ready) // (1 << levels)))
+        step = max(1, -(-len(ready) // (len(cuts) + 1)))
         for k, a in enumerate(range(0, len(ready), step)):
             yield pd.DataFrame({"range": [k], "settled": [True], "packed": [zstandard.ZstdCompressor(level=3).compress(ready[a : a + step].tobytes())]})
 
@@ -400,27 +433,28 @@ def repeated_spans(runs: DataFrame, length: int, gram: int) -> DataFrame:
     return runs.groupBy("range").applyInPandas(merge, "key long, packed binary")
 
 
-def keyed_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, key and the text under Zstandard, so that moving texts costs less."""
+def met(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """``texts`` (doc_id, key, and text under Zstandard) whose key is in the checkpointed ``found``, with its other columns. A
+    Bloom filter of bounded size keeps other texts where they are."""
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches):
-            rows = [(row_key(doc_id, text), packer.compress(text)) for doc_id, text in _texts(batch)]
-            keys = np.array([k for k, _ in rows], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys), pa.array([t for _, t in rows], pa.binary())], ["doc_id", "key", "text"])
+            packed = pa.array([packer.compress(text) for _, text in _texts(batch)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), packed], ["doc_id", "key", "text"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(squeeze, "doc_id long, key long, text binary")
+    possible = with_possible(texts, F.col("key"), found, "key").filter("_possible").select("doc_id", "key", "text")
+    return possible.mapInArrow(squeeze, "doc_id long, key long, text binary").join(found.hint("shuffle_hash"), "key", "left")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, key, text (compressed) and spans (a list of packed begin and end positions, or null) of every document."""
-    width = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    picks = repeated_anchors(docs, width, length, gram).groupBy("key").agg(F.collect_list("packed").alias("picks"))
-    texts = keyed_texts(docs)
-    chosen = texts.select("key", "text").join(picks.hint("shuffle_hash"), "key")
-    spans = checkpointed(repeated_spans(sorted_runs(chosen, width, gram), length, gram))
-    return texts.join(spans.groupBy("key").agg(F.collect_list("packed").alias("spans")).hint("shuffle_hash"), "key", "left")
+def repeated_parts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(key, spans), checkpointed: for every key of ``keyed`` texts with a repeat, packed begin and end positions."""
+    cuts = cut_points(texts, length, gram)
+    picks = checkpointed(repeated_anchors(texts, len(cuts) + 1, length, gram).groupBy("key").agg(F.collect_list("packed").alias("picks")))
+    # rows that repeat doc_id and text are read once for each row, so that their keys repeat
+    chosen = met(texts, picks).filter("picks is not null").select("key", "text", "picks")
+    spans = repeated_spans(sorted_runs(chosen, cuts, gram), length, gram)
+    return checkpointed(spans.groupBy("key").agg(F.collect_list("packed").alias("spans")))
 
 
 def cut_spans(text: bytes, spans: list[bytes] | None) -> tuple[bytes, int, int]:
@@ -437,16 +471,21 @@ def cut_spans(text: bytes, spans: list[bytes] | None) -> tuple[bytes, int, int]:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document. Only texts with a repeat move."""
+    texts = keyed(docs)
+    spans = repeated_parts(texts, length, gram)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for packed, spans in zip(frame["text"], frame["spans"], strict=True):
-                text = zstandard.ZstdDecompressor().decompress(packed) if packed is not None else b""
-                kept, removed, n = cut_spans(text, spans)
+            for packed, some in zip(frame["text"], frame["spans"], strict=True):
+                text = zstandard.ZstdDecompressor().decompress(packed)
+                kept, removed, n = cut_spans(text, some)
                 rows.append((len(text), removed, n, hashlib.sha256(kept).hexdigest()))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 4
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_bytes": columns[0], "n_removed": columns[1], "n_spans": columns[2], "kept_sha256": columns[3]})
 
-    return repeats(docs, length, gram).mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    done = met(texts, spans).mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    none = F.lit(0).cast("long")
+    whole = with_possible(texts, F.col("key"), spans, "key").filter("not _possible")
+    return done.unionByName(whole.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")))
