@@ -98,6 +98,15 @@ def with_possible(rows: DataFrame, key: Column, listed: DataFrame, column: str,
     return probed.withColumn(name, found & key.isNotNull()).drop("_at", "_need", "_word", "_bits")
 
 
+def meeting(rows: DataFrame, key: Column, listed: DataFrame, column: str) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` that may meet the checkpointed ``listed`` in a join on ``key``, and the rest. All of them, without a rest, where
+    ``listed`` is small enough to be broadcast; else a Bloom filter parts them, so that only possible partners are shuffled."""
+    if listed.count() <= BROADCAST_ROWS:
+        return rows, None
+    parted = with_possible(rows, key, listed, column)
+    return parted.filter("_possible").drop("_possible"), parted.filter("not _possible").drop("_possible")
+
+
 def gapless_rank(df: DataFrame, key: str, order: list[str], out: str, rows_per_bucket: int = 50_000) -> DataFrame:
     """Number the rows of each ``key`` from 0 without gaps.
 

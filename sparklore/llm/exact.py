@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, checkpointed, slices, small, with_possible
+from .common import checkpointed, meeting, slices, small, with_possible
 
 FP, SHA = "_fp", "_sha"
 #: Rows whose fingerprints a segment of the filters holds on average, and segments at least.
@@ -213,10 +213,7 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     groups = duplicate_groups(docs, digests)
     again = digests.join(small(groups), [FP, SHA]).filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(FP, SHA).agg(F.count(F.lit(1)).alias("_ties"))
     marked = checkpointed(groups.join(again, [FP, SHA]).select(FP, SHA, F.col("keep_id").alias("_keep"), "_ties"))
-    rows, alone = with_digests(docs), None
-    if marked.count() > BROADCAST_ROWS:
-        parted = with_possible(rows, F.col(FP), marked, FP)
-        rows, alone = parted.filter("_possible").drop("_possible"), parted.filter("not _possible").select(*docs.columns)
+    rows, alone = meeting(with_digests(docs), F.col(FP), marked, FP)
     joined = rows.join(small(marked), [FP, SHA], "left")
     stays = joined.filter(F.col("_ties").isNull() | F.col("doc_id").eqNullSafe(F.col("_keep")))
     once = stays.filter("_ties is null or _ties = 1").select(*docs.columns)
@@ -224,4 +221,4 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
         out = once
     else:
         out = once.unionByName(stays.filter("_ties > 1").dropDuplicates([FP, SHA]).select(*docs.columns))
-    return out if alone is None else out.unionByName(alone)
+    return out if alone is None else out.unionByName(alone.select(*docs.columns))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, SPACE_CLASS, checkpointed, scratch_path
+from .common import SPACE_CHARS, SPACE_CLASS, checkpointed, meeting, small
 
 WINDOW = 8
 #: A host is held to the strict rules where its shrunk rate is above one in ten.
@@ -108,10 +108,12 @@ def quality_report(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """``docs`` without the rows that the rules reject, all columns kept. Rows are written once with their two flags, as Parquet
-    in the shared folder, so features are computed once; texts that fail a base rule go at once and are not written."""
-    flagged = features(docs).drop(*[f"_{x}" for x in FEATURES])
-    path = scratch_path(docs.sparkSession, "judged")
-    flagged.withColumn("text", F.when(~F.col("_base_failed"), F.col("text"))).select(*docs.columns, "_base_failed", "_strict_failed").write.parquet(path)
-    written = docs.sparkSession.read.parquet(path)
-    return judged(written, written, max_rate).filter("_kept").select(*docs.columns)
+    """``docs`` without the rows that the rules reject, all columns kept. Features are computed once and kept without texts; the
+    rejected rows (id, hash of the text, host) are then taken out of ``docs``. Equal rows of a host are judged alike."""
+    row = ("doc_id", F.xxhash64("text").alias("_text"), "source")
+    measured = checkpointed(features(docs.select("doc_id", "text", "source")).select(*row, "_base_failed", "_strict_failed"))
+    bad = checkpointed(judged(measured, measured, max_rate).filter("not _kept").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), F.col("source").alias("_host")).distinct())
+    rows, rest = meeting(docs.withColumn("_text", F.xxhash64("text")), F.col("_text"), bad, "_hash")
+    same = (F.col("_text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_host"))
+    out = rows.join(small(bad), same, "left_anti").select(*docs.columns)
+    return out if rest is None else out.unionByName(rest.select(*docs.columns))

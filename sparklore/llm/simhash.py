@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -32,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, checkpointed, slices, small, with_possible
+from .common import checkpointed, meeting, slices, small
 
 BITS = 64
 SHINGLE_WORDS = 3
 RADIUS = 2
 #: Fingerprints that one task compares at most; larger buckets are split.
 BUCKET = 4096
+SAMPLED = 16
 PARTITION_CHOICES = (2, 3, 4, 5, 6)
 #: Cost of moving a key against that of verifying a candidate pair.
 KEY_COST = 40.0
@@ -264,15 +265,20 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, levels:
     """Verified links (a, b) that connect all distinct fingerprints (column ``fp``)."""
     prints = prints.select("fp")
     n, mean, correlation = bit_statistics(prints)
-    rows, parts = probe_keys(prints, choose_plan(n, mean, correlation, radius)), []
+    plan, parts = choose_plan(n, mean, correlation, radius), []
+    rows = probe_keys(prints, plan)
+    # large buckets are looked for among one in so many fingerprints of a large table; missing one costs time and loses no link
+    share = SAMPLED if n > SAMPLED * bucket else 1
+    some = rows if share == 1 else probe_keys(prints.filter(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0), plan)
     for level in range(levels + 1):
-        # a bucket beyond the bound has at least that many rows; few keys do, so this table is tiny
-        large = checkpointed(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).select("key"))
+        # few buckets are beyond the bound, so this table is tiny
+        large = checkpointed(some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * share > bucket).select("key"))
         if level == levels or large.isEmpty():
             parts.append(bucket_links(rows, radius))
             break
         parts.append(bucket_links(rows.join(large, "key", "left_anti"), radius))
-        rows = checkpointed(split_keys(rows.join(large, "key"), level, radius))
+        rows = some = checkpointed(split_keys(rows.join(large, "key"), level, radius))
+        share = 1
     return reduce(DataFrame.unionByName, parts).distinct() if len(parts) > 1 else parts[0]
 
 
@@ -350,24 +356,26 @@ def shared_buckets(classes: DataFrame) -> DataFrame:
     return checkpointed(members.join(small(met), "bucket").select("bucket", "class").distinct())
 
 
-def shingle_sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
-    """(class, shingles), checkpointed, of the checkpointed ``chosen`` (class, _id, _hash), which name a row of ``docs`` each.
+def with_sets(docs: DataFrame, chosen: DataFrame, units: DataFrame, words: int) -> DataFrame:
+    """(unit, class, label, shingles) of ``units`` (unit, class, label), where ``chosen`` (class, _id, _hash) names the row of ``docs``
+    that stands for a class. Sets are computed where the texts lie and move once.
 
-    Texts stay where they are while ``chosen`` is small enough to be broadcast; beyond that a Bloom filter keeps others back.
+    Texts stay where they are while the table is small enough to be broadcast; beyond that a Bloom filter keeps others back.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices([batch], 64):
                 sets = [np.unique(shingle_hashes(x or b"", words)).view(np.int64) for x in part.column("text").cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(sets, pa.list_(pa.int64()))], ["class", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("class"), part.column("units"), pa.array(sets, pa.list_(pa.int64()))], ["class", "units", "shingles"])
 
+    wanted = units.groupBy("class").agg(F.collect_list(F.struct("unit", "label")).alias("units"))
+    wanted = checkpointed(wanted.join(chosen, "class"))
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text", F.xxhash64("text").alias("_text"))
-    if chosen.count() > BROADCAST_ROWS:
-        texts = with_possible(texts, F.col("_text"), chosen, "_hash").filter("_possible")
-    found = texts.join(small(chosen), (F.col("_text") == F.col("_hash")) & F.col("_doc").eqNullSafe(F.col("_id")))
-    # rows that repeat id and text give a class the same set again
-    return checkpointed(found.select("class", "text").mapInArrow(cut, "class long, shingles array<long>").dropDuplicates(["class"]))
+    rows, _ = meeting(texts, F.col("_text"), wanted, "_hash")
+    found = rows.join(small(wanted), (F.col("_text") == F.col("_hash")) & F.col("_doc").eqNullSafe(F.col("_id"))).select("class", "units", "text")
+    sets = found.mapInArrow(cut, "class long, units array<struct<unit: long, label: long>>, shingles array<long>")
+    return sets.select("class", F.explode("units").alias("_u"), "shingles").select("_u.unit", "class", "_u.label", "shingles")
 
 
 def similar_links(sets: list[np.ndarray], labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -395,8 +403,8 @@ def similar_links(sets: list[np.ndarray], labels: np.ndarray, similarity: float)
     return out
 
 
-def confirmed(units: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), checkpointed: links of ``similarity`` or more that connect the rows (unit, class, label) of each unit.
+def confirmed(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), checkpointed: links of ``similarity`` or more that connect the rows (unit, class, label, shingles) of each unit.
 
     A unit holds a bounded number of rows, and a task takes its units one after another.
     """
@@ -405,6 +413,8 @@ def confirmed(units: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
         held: pd.DataFrame | None = None
 
         def found(frame: pd.DataFrame) -> pd.DataFrame:
+            # rows of the input that repeat id and text give a class the same set again
+            frame = frame.drop_duplicates(["unit", "class"])
             keys, nodes, labels = (frame[c].to_numpy(np.int64) for c in ("unit", "class", "label"))
             sets, ends = list(frame["shingles"]), []
             bounds = [*np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist(), len(keys)]
@@ -424,12 +434,13 @@ def confirmed(units: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
         if held is not None and len(held):
             yield found(held)
 
-    dealt = units.join(sets, "class").select("unit", "class", "label", "shingles").repartition("unit").sortWithinPartitions("unit", "class")
+    dealt = sets.select("unit", "class", "label", "shingles").repartition("unit").sortWithinPartitions("unit", "class")
     return checkpointed(dealt.mapInPandas(link, "a long, b long").filter("a <> b").distinct())
 
 
-def similar_classes(shared: DataFrame, sets: DataFrame, similarity: float, block: int = TRIED) -> DataFrame:
-    """(node, root) of the classes that links of ``similarity`` or more among members of a bucket connect.
+def similar_classes(shared: DataFrame, load: Callable[[DataFrame], DataFrame], similarity: float, block: int = TRIED) -> DataFrame:
+    """(node, root) of the classes that links of ``similarity`` or more among members of a bucket connect. ``load`` adds the shingles
+    to rows (unit, class, label).
 
     Buckets that share classes form a group, whose members are compared in one task where they are ``block`` or fewer. Larger
     groups are compared bucket by bucket, and a bucket beyond ``block`` in blocks: first each block by itself, along with some
@@ -441,7 +452,7 @@ def similar_classes(shared: DataFrame, sets: DataFrame, similarity: float, block
     key = lambda *parts: F.xxhash64(*parts).alias("unit")
     units = groups.join(small(wide), "root", "left_anti").select(key(F.lit("group"), F.col("root")), F.col("node").alias("class"), F.col("node").alias("label"))
     if wide.isEmpty():
-        return components(confirmed(units, sets, similarity))
+        return components(confirmed(load(units), similarity))
     rest = checkpointed(shared.join(groups.join(small(wide), "root").select(F.col("node").alias("class")), "class"))
     counted = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block))
     dealt = rest.join(counted, "bucket").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")))
@@ -449,7 +460,7 @@ def similar_classes(shared: DataFrame, sets: DataFrame, similarity: float, block
     spread = F.when(pivot & (F.col("blocks") > 1), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own"))
     first = dealt.select("bucket", "class", F.explode(spread).alias("block"))
     more = first.select(key(F.lit("bucket"), F.col("bucket"), F.col("block")), "class", F.col("class").alias("label"))
-    edges = confirmed(units.unionByName(more), sets, similarity)
+    edges = confirmed(load(units.unionByName(more)), similarity)
     hot = dealt.filter("blocks > 1").select("bucket", "class")
     roots = checkpointed(components(edges))
     labelled = checkpointed(hot.join(roots, hot["class"] == roots["node"], "left").select("bucket", "class", F.coalesce("root", "class").alias("label")))
@@ -467,7 +478,7 @@ def similar_classes(shared: DataFrame, sets: DataFrame, similarity: float, block
     met = placed.join(others, "bucket").select("bucket", "class", "label", "own", F.explode("all").alias("other"))
     met = met.filter(F.col("own.of").isNull() | ~F.col("own.of").eqNullSafe(F.col("other.of")))
     tried = met.select(key(F.lit("blocks"), F.col("bucket"), F.least("own", "other"), F.greatest("own", "other")), "class", "label")
-    return components(edges.unionByName(confirmed(tried, sets, similarity)))
+    return components(edges.unionByName(confirmed(load(tried), similarity)))
 
 
 def near_groups(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -498,7 +509,7 @@ def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     classes = checkpointed(classes.withColumn("class", F.monotonically_increasing_id()))
     shared = shared_buckets(classes)
     chosen = checkpointed(shared.select("class").distinct().join(classes, "class").select("class", F.col("_row.doc_id").alias("_id"), F.col("_row._text").alias("_hash")))
-    roots = similar_classes(shared, shingle_sets(docs, chosen, words), similarity)
+    roots = similar_classes(shared, lambda units: with_sets(docs, chosen, units, words), similarity)
     rooted = classes.join(roots, classes["class"] == roots["node"], "left").select("_set", "_row", F.coalesce("root", "class").alias("_root"))
     keepers = rooted.join(rooted.groupBy("_root").agg(F.min("_row").alias("keep")), "_root").select("_set", "keep")
     return checkpointed(rows.select("doc_id", "_text", "_set").join(keepers, "_set").select("doc_id", "_text", "keep"))
@@ -512,12 +523,9 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     counted = rows.groupBy("doc_id", "_text").agg(F.count(F.lit(1)).alias("n"), F.first(~stays).alias("_gone"))
     # what goes, and what stays once of several equal rows
     marks = checkpointed(counted.filter("_gone or n > 1").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), "_gone"))
-    hashed, alone = docs.withColumn("_text", F.xxhash64("text")), None
-    if marks.count() > BROADCAST_ROWS:
-        parted = with_possible(hashed, F.col("_text"), marks, "_hash")
-        hashed, alone = parted.filter("_possible").drop("_possible"), parted.filter("not _possible").select(*docs.columns)
+    hashed, alone = meeting(docs.withColumn("_text", F.xxhash64("text")), F.col("_text"), marks, "_hash")
     joined = hashed.join(small(marks), (F.col("_text") == F.col("_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
     out = joined.filter("_gone is null").select(*docs.columns)
     if not marks.filter("not _gone").isEmpty():
         out = out.unionByName(joined.filter("not _gone").dropDuplicates(["_id", "_hash"]).select(*docs.columns))
-    return out if alone is None else out.unionByName(alone)
+    return out if alone is None else out.unionByName(alone.select(*docs.columns))

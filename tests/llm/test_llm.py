@@ -186,7 +186,7 @@ def test_no_link_of_a_large_group_is_lost(spark):
     shared = spark.createDataFrame([(b, k) for k in range(len(texts)) for b in (0, 1 + k % 3)], "bucket long, class long")
     shingles = spark.createDataFrame([(k, x.view(np.int64).tolist()) for k, x in enumerate(sets)], "class long, shingles array<long>")
     for block in (30, 1000):
-        roots = {r.node: r.root for r in simhash.similar_classes(shared, shingles, 0.8, block).collect()}
+        roots = {r.node: r.root for r in simhash.similar_classes(shared, lambda units: units.join(shingles, "class"), 0.8, block).collect()}
         assert [roots.get(k, k) for k in range(len(texts))] == want
 
 
