@@ -3,35 +3,23 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .catalog_code import GRADED
 from .functions import text as T
 from .operators import graph as G
 from .operators import records as M
 from .operators import retrieval as R
-from .plans.fixtures import Tables, with_views
+from .registry import ORACLE, QUERIES, query
 from .streaming import maintenance as S
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 NOW = "2024-06-01 00:00:00"
 TERMS = ["herean", "thention", "the", "wholly"]
 SYMBOL_ID = 100
 
 
-def query(oracle: str | None = None):
-    def register(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
-        if oracle:
-            ORACLE[f.__name__] = with_views(oracle)
-        return f
-
-    return register
-
-
 def bm25_sql(table: str, key: str, text: str, condition: str, n: int) -> str:
     """BM25 by an inverted list of all tokens (another way round than the operator's single pass)."""
     terms = ", ".join(f"'{t}'" for t in TERMS)
@@ -169,12 +157,6 @@ def list_files(t):
     return t["v_files"].filter(F.col("path").ilike("%n1%") & (F.col("language") == "rust")).select("path", "module", "language").orderBy("path").limit(50)
 
 
-@query("SELECT 'GET' AS method, regexp_extract(url, '://[^/]+(/[^?#]*)', 1) AS route, page_id FROM pages WHERE regexp_extract(url, '://[^/]+(/[^?#]*)', 1) ILIKE '%/en/%' ORDER BY route, page_id LIMIT 40")
-def find_routes(t):
-    route = F.regexp_extract("url", "://[^/]+(/[^?#]*)", 1)
-    return t["pages"].filter(route.ilike("%/en/%")).select(F.lit("GET").alias("method"), route.alias("route"), "page_id").orderBy("route", "page_id").limit(40)
-
-
 @query(f"SELECT DISTINCT f.path, f.line_start, f.qualified_name FROM v_functions f JOIN v_files x ON x.id = f.file_id WHERE f.name = (SELECT name FROM v_functions WHERE id = {SYMBOL_ID}) OR f.qualified_name = (SELECT name FROM v_functions WHERE id = {SYMBOL_ID})")
 def find_definitions(t):
     name = t["v_functions"].filter(f"id = {SYMBOL_ID}").first()["name"]
@@ -214,12 +196,6 @@ def callees(t):
     return t["v_calls"].join(q, "caller", "left_semi").select("path", "caller", "callee", "line")
 
 
-GRADED = """SELECT c.*, CASE WHEN guess IS NOT NULL AND (SELECT count(*) FROM v_functions f WHERE f.qualified_name = c.guess) = 1 THEN 0.9
-WHEN guess IS NOT NULL AND (SELECT count(*) FROM v_functions f WHERE f.qualified_name = c.guess) > 1 THEN 0.7
-WHEN is_method AND EXISTS (SELECT 1 FROM v_functions f WHERE f.name = c.callee) THEN 0.4 WHEN is_method THEN 0.3
-WHEN (SELECT count(*) FROM v_functions f WHERE f.name = c.callee) = 1 THEN 0.6 WHEN (SELECT count(*) FROM v_functions f WHERE f.name = c.callee) > 1 THEN 0.4 ELSE 0.3 END AS confidence FROM v_calls c"""
-
-
 @query(f"WITH g AS ({GRADED}) SELECT src_id, dst_id, line, is_method, CAST(confidence AS DOUBLE) AS confidence, CASE WHEN EXISTS (SELECT 1 FROM v_functions f WHERE f.qualified_name = guess) THEN guess END AS resolved_callee FROM g")
 def grade_calls(t):
     return G.grade_calls(t["v_calls"], t["v_functions"]).select("src_id", "dst_id", "line", "is_method", "confidence", "resolved_callee")
@@ -235,12 +211,11 @@ def callers_by_certainty(t):
     return G.grade_calls(t["v_calls"], t["v_functions"]).groupBy("caller", G.certainty(F.col("confidence")).alias("certainty")).agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Depth of the SQL texts of walks. The queries go further: a chain and tests to the reference's bounds, others to the end.
-DEPTH = 6
-CHAIN_DEPTH, TESTS_DEPTH = 12, 10
-BFS = f"""WITH RECURSIVE e AS (SELECT DISTINCT {{src}} AS s, {{dst}} AS d FROM v_calls WHERE src_id <> dst_id),
-r(node, depth) AS (SELECT {{seed}}, 0 UNION SELECT e.d, depth + 1 FROM r JOIN e ON e.s = r.node WHERE depth < {DEPTH})
-SELECT {{out}} FROM (SELECT node, min(depth) AS depth FROM r GROUP BY node) x {{tail}}"""
+CHAIN_DEPTH = 12
+#: Breadth-first levels to the end, or to a depth: a node is kept once, at the level that reaches it first.
+BFS = """WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT src_id AS s, dst_id AS d FROM v_calls WHERE src_id <> dst_id),
+r(node, depth) USING KEY (node) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.d, min(r.depth) + 1 FROM r JOIN e ON e.s = r.node WHERE {within} AND NOT EXISTS (SELECT 1 FROM recurring.r AS x WHERE x.node = e.d) GROUP BY e.d)
+SELECT {out} FROM r {tail}"""
 
 
 def _edges(t, reverse: bool = False) -> DataFrame:
@@ -252,77 +227,37 @@ def _seed(t, node: int) -> DataFrame:
     return t.spark.range(1).select(F.lit(node).cast("long").alias("node"))
 
 
-@query(BFS.format(src="src_id", dst="dst_id", seed="CAST(0 AS BIGINT)", out="node, CAST(depth AS INTEGER) AS depth", tail=""))
+@query(BFS.format(within="true", out="node, CAST(depth AS INTEGER) AS depth", tail=""))
 def bfs_distances(t):
     return G.walk(_edges(t), _seed(t, 0)).select("node", "depth")
 
 
-@query(BFS.format(src="src_id", dst="dst_id", seed="CAST(0 AS BIGINT)", out="CAST(max(depth) AS INTEGER) AS hops", tail="WHERE node = (SELECT max(dst_id) FROM v_calls WHERE dst_id < 150)"))
+@query(BFS.format(within=f"r.depth < {CHAIN_DEPTH}", out="CAST(max(depth) AS INTEGER) AS hops", tail="WHERE node = (SELECT max(dst_id) FROM v_calls WHERE dst_id < 150)"))
 def call_chain(t):
     goal = t["v_calls"].filter("dst_id < 150").agg(F.max("dst_id")).first()[0]
     return G.shortest_path(_edges(t), 0, goal, CHAIN_DEPTH).agg(F.max("step").alias("hops"))
 
 
-@query(BFS.format(src="dst_id", dst="src_id", seed="CAST(20 AS BIGINT)", out="f.id, CAST(depth AS INTEGER) AS depth", tail="JOIN v_functions f ON f.id = x.node WHERE f.is_test AND depth > 0"))
-def tests_covering(t):
-    reached = G.walk(_edges(t, reverse=True), _seed(t, 20), TESTS_DEPTH).filter("depth > 0")
-    return reached.join(t["v_functions"].filter("is_test").select(F.col("id").alias("node")), "node").select(F.col("node").alias("id"), "depth")
-
-
-IMPORTS = "SELECT DISTINCT a.file_id AS s, b.file_id AS d FROM v_calls c JOIN v_functions a ON a.id = c.src_id JOIN v_functions b ON b.id = c.dst_id WHERE a.file_id <> b.file_id AND c.line = 1"
-
-
-def _imports(t, reverse: bool = False) -> DataFrame:
-    f = t["v_functions"].select("id", "file_id")
-    a, b = f.toDF("src_id", "src"), f.toDF("dst_id", "dst")
-    e = t["v_calls"].select("src_id", "dst_id").distinct().join(a, "src_id").join(b, "dst_id").filter("src <> dst").select("src", "dst").distinct()
-    return e.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if reverse else e
-
-
-def _imports_sql(a: str, b: str) -> str:
-    return f"WITH RECURSIVE e AS ({IMPORTS}), r(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.{b}, depth + 1 FROM r JOIN e ON e.{a} = r.node WHERE depth < 2) SELECT node AS file_id, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node"
-
-
-@query(_imports_sql("s", "d"))
-def dependencies(t):
-    return G.walk(_imports(t), _seed(t, 1), 2).select(F.col("node").alias("file_id"), "depth")
+#: Steps that the SQL texts unroll; they return the first one that changes ranks by less than 1e-6 in all, as the queries do.
+STEPS = 40
 
 
-@query(_imports_sql("d", "s"))
-def impact(t):
-    return G.walk(_imports(t, reverse=True), _seed(t, 1), 2).select(F.col("node").alias("file_id"), "depth")
-
-
-@query("SELECT id, qualified_name FROM v_functions f WHERE NOT is_test AND NOT EXISTS (SELECT 1 FROM v_calls c WHERE c.callee = f.name)")
-def dead_code(t):
-    called = t["v_calls"].select(F.col("callee").alias("name")).distinct()
-    return t["v_functions"].filter("not is_test").join(called, "name", "left_anti").select("id", "qualified_name")
-
-
-@query(f"WITH RECURSIVE r AS (SELECT id AS node, 0 AS depth FROM v_functions WHERE is_test UNION SELECT c.dst_id, depth + 1 FROM r JOIN v_calls c ON c.src_id = r.node WHERE depth < {DEPTH}) SELECT id FROM v_functions WHERE id NOT IN (SELECT node FROM r)")
-def unreachable(t):
-    f = t["v_functions"]
-    reached = G.walk(_edges(t), f.filter("is_test").select(F.col("id").alias("node")))
-    return f.join(reached.select(F.col("node").alias("id")), "id", "left_anti").select("id")
-
-
-@query(f"""WITH d AS (SELECT path, line_start AS line FROM v_functions WHERE name = {NAME}), c AS (SELECT DISTINCT path, line FROM v_calls WHERE callee = {NAME})
-SELECT 'definition' AS kind, path, line FROM d UNION ALL SELECT 'call', path, CAST(line AS BIGINT) FROM c WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.path = c.path AND d.line = c.line)""")
-def references_classified(t):
-    name = t["v_functions"].filter(f"id = {SYMBOL_ID}").first()["name"]
-    d = t["v_functions"].filter(F.col("name") == name).select("path", F.col("line_start").cast("long").alias("line"))
-    c = t["v_calls"].filter(F.col("callee") == name).select("path", F.col("line").cast("long").alias("line")).distinct().join(d, ["path", "line"], "left_anti")
-    return d.withColumn("kind", F.lit("definition")).unionByName(c.withColumn("kind", F.lit("call"))).select("kind", "path", "line")
-
-
-#: Steps of the unrolled SQL texts; the queries iterate until ranks change by less than 1e-6 in all.
-STEPS = 5
-
-
-def pagerank_sql(a: str, b: str) -> str:
-    ctes = [f"e AS (SELECT {a} AS s, {b} AS d, count(*) AS w FROM v_calls WHERE src_id <> dst_id GROUP BY 1, 2)", "l AS (SELECT s, d, w / sum(w) OVER (PARTITION BY s) AS share FROM e)", "n AS (SELECT count(*) AS n FROM v_functions)", "r0 AS (SELECT id AS node, 1.0 / n AS rank FROM v_functions, n)"]
+def pagerank_sql(a: str, b: str, p: str = "") -> str:
+    """CTEs up to ``{p}out`` (node, rank)."""
+    ctes = [
+        f"{p}e AS MATERIALIZED (SELECT {a} AS s, {b} AS d, count(*) AS w FROM v_calls WHERE src_id <> dst_id GROUP BY 1, 2)",
+        f"{p}l AS MATERIALIZED (SELECT s, d, w / sum(w) OVER (PARTITION BY s) AS share FROM {p}e)",
+        f"{p}n AS MATERIALIZED (SELECT count(*) AS n FROM v_functions)",
+        f"{p}x AS MATERIALIZED (SELECT id AS node, id NOT IN (SELECT s FROM {p}l) AS dangling FROM v_functions)",
+        f"{p}r0 AS MATERIALIZED (SELECT id AS node, CAST(1 AS DOUBLE) / n AS rank FROM v_functions, {p}n)",
+    ]
     for k in range(STEPS):
-        ctes.append(f"g{k} AS (SELECT d AS node, sum(rank * share) AS got FROM r{k} JOIN l ON l.s = r{k}.node GROUP BY d), h{k} AS (SELECT coalesce(sum(rank), 0) AS dang FROM r{k} WHERE node NOT IN (SELECT s FROM l)), r{k + 1} AS (SELECT f.id AS node, 0.15 / n + 0.85 * (coalesce(got, 0) + dang / n) AS rank FROM v_functions f LEFT JOIN g{k} g ON g.node = f.id CROSS JOIN h{k} CROSS JOIN n)")
+        got = f"(SELECT d AS node, sum(rank * share) AS got FROM {p}r{k} JOIN {p}l ON {p}l.s = {p}r{k}.node GROUP BY d)"
+        loose = f"(SELECT coalesce(sum(rank), 0) AS dang FROM {p}r{k} JOIN {p}x USING (node) WHERE dangling)"
+        ctes.append(f"{p}r{k + 1} AS MATERIALIZED (SELECT f.node, 0.15 / n + 0.85 * (coalesce(got, 0) + dang / n) AS rank FROM {p}x f LEFT JOIN {got} g ON g.node = f.node CROSS JOIN {loose} h CROSS JOIN {p}n)")
+    ctes.append(f"{p}c AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {k} AS k, sum(abs(a.rank - b.rank)) AS change FROM {p}r{k} a JOIN {p}r{k - 1} b USING (node)" for k in range(1, STEPS + 1)) + ")")
+    ctes.append(f"{p}stop AS MATERIALIZED (SELECT min(k) AS k FROM {p}c WHERE change < 1e-6)")
+    ctes.append(f"{p}out AS (" + " UNION ALL ".join(f"SELECT node, rank FROM {p}r{k} WHERE {k} = (SELECT k FROM {p}stop)" for k in range(1, STEPS + 1)) + ")")
     return ", ".join(ctes)
 
 
@@ -330,17 +265,17 @@ def _nodes(t) -> DataFrame:
     return t["v_functions"].select(F.col("id").alias("node"))
 
 
-@query(f"WITH {pagerank_sql('src_id', 'dst_id')} SELECT node, round(rank, 9) AS rank FROM r{STEPS}")
+@query(f"WITH {pagerank_sql('src_id', 'dst_id')} SELECT node, round(rank, 9) AS rank FROM out")
 def pagerank_authority(t):
     return G.pagerank(_edges(t), _nodes(t)).select("node", F.round("rank", 9).alias("rank"))
 
 
-@query(f"WITH {pagerank_sql('dst_id', 'src_id')} SELECT node, round(rank, 9) AS rank FROM r{STEPS}")
+@query(f"WITH {pagerank_sql('dst_id', 'src_id')} SELECT node, round(rank, 9) AS rank FROM out")
 def pagerank_hub(t):
     return G.pagerank(_edges(t, reverse=True), _nodes(t)).select("node", F.round("rank", 9).alias("rank"))
 
 
-@query(f"WITH a AS (WITH {pagerank_sql('src_id', 'dst_id')} SELECT * FROM r{STEPS}), h AS (WITH {pagerank_sql('dst_id', 'src_id')} SELECT * FROM r{STEPS}), b AS (SELECT a.node, sqrt(a.rank * h.rank) AS r FROM a JOIN h ON h.node = a.node) SELECT node, round(r / max(r) OVER (), 6) AS rank FROM b")
+@query(f"WITH {pagerank_sql('src_id', 'dst_id', 'a')}, {pagerank_sql('dst_id', 'src_id', 'h')}, b AS (SELECT a.node, sqrt(a.rank * h.rank) AS r FROM aout a JOIN hout h ON h.node = a.node) SELECT node, round(r / max(r) OVER (), 6) AS rank FROM b")
 def symbol_rank(t):
     return G.symbol_rank(_edges(t), _nodes(t))
 
@@ -530,3 +465,6 @@ def run_outcomes(t):
     return t.spark.createDataFrame(rows, "output string").withColumn("outcome", T.run_outcome(F.col("output")))
 
 
+
+
+from . import catalog_code  # noqa: E402, F401
