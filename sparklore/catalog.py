@@ -323,11 +323,6 @@ def l0_records(t):
     return t["v_memories"].filter(M.is_always_on(F.col("importance")) & (F.col("status") == "active")).select("id", "project")
 
 
-@query(f"WITH a AS (SELECT project, floor(epoch(TIMESTAMP '{NOW}' - date_trunc('second', last_accessed_at)) / 86400) AS d FROM v_memories) SELECT project, CASE WHEN d <= 7 THEN 'fresh' WHEN d <= 30 THEN 'recent' WHEN d <= 90 THEN 'aging' ELSE 'stale' END AS age, count(*) AS n FROM a GROUP BY 1, 2")
-def age_buckets(t):
-    return t["v_memories"].groupBy("project", M.age_bucket(F.col("last_accessed_at"), NOW).alias("age")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT project, count(*) AS n FROM v_memories WHERE NOT starts_with(project, '__') GROUP BY project")
 def project_list(t):
     return t["v_memories"].filter("not startswith(project, '__')").groupBy("project").agg(F.count(F.lit(1)).alias("n"))
@@ -361,12 +356,12 @@ def curate_greedy(t):
 
 
 @query("""WITH p AS (SELECT x.label, x.vec_id AS a, y.vec_id AS b, 1 - list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS d FROM embeddings x JOIN embeddings y ON y.label = x.label AND y.vec_id < x.vec_id),
-n AS (SELECT label, a, b, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM p) SELECT label, a, b, round(d, 6) AS distance FROM n WHERE r = 1 AND d < 0.5""")
+n AS (SELECT label, a, b, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM p) SELECT label, a, b, round(d, 6) AS distance FROM n WHERE r = 1 AND d < 0.75""")
 def dedup_gate(t):
-    return M.nearest_same_project(t["embeddings"], 0.5)
+    return M.nearest_same_project(t["embeddings"], 0.75)
 
 
-@query(r"""SELECT doc_id, regexp_replace(text, '(token = ")[0-9a-f]{40}(")?', '\1[redacted:assigned-secret]\2', 'g') AS text FROM documents WHERE regexp_matches(text, 'token = "[0-9a-f]{40}')""")
+@query(r"""SELECT doc_id, regexp_replace(text, '(token = ")[0-9a-f]{40}(")?', '\1[REDACTED:assigned-secret]\2', 'g') AS text FROM documents WHERE regexp_matches(text, 'token = "[0-9a-f]{40}')""")
 def redact_secrets(t):
     return t["documents"].filter(F.size(T.redacted_kinds(F.col("text"))) > 0).select("doc_id", T.redact_secrets(F.col("text")).alias("text"))
 
@@ -467,4 +462,4 @@ def run_outcomes(t):
 
 
 
-from . import catalog_code  # noqa: E402, F401
+from . import catalog_code, catalog_memory  # noqa: E402, F401

@@ -86,7 +86,7 @@ def redact_secrets(text: Column) -> Column:
     out = text
     for kind, pattern in SECRET_RULES:
         kept = "$1" if kind in ("url-password", "assigned-secret") else ""
-        out = F.regexp_replace(out, pattern, f"{kept}[redacted:{kind}]")
+        out = F.regexp_replace(out, pattern, f"{kept}[REDACTED:{kind}]")
     return out
 
 
@@ -131,3 +131,48 @@ def contains_identifier(line: Column, name: str) -> Column:
 
 def last_segment(name: Column) -> Column:
     return F.regexp_extract(name, r"([^:.]*)$", 1)
+
+
+def truncate(text: Column, n: int) -> Column:
+    """The first ``n`` characters, with an ellipsis where there are more."""
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("…"))).otherwise(text)
+
+
+def one_line(text: Column) -> Column:
+    """White space collapsed to single blanks, none at the ends."""
+    return F.regexp_replace(F.btrim(text, F.lit(" \t\n\r")), r"[ \t\n\r]+", " ")
+
+
+def preview(text: Column, n: int = 100) -> Column:
+    """The first line that is not blank, trimmed and cut."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: x != "")
+    return truncate(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), n)
+
+
+def project_of(memory_id: Column) -> Column:
+    """The project that a record's id ends in."""
+    return F.regexp_extract(memory_id, "__(.*)$", 1)
+
+
+def query_tokens(text: Column, most: int = 16) -> Column:
+    """The first distinct words of three characters or more of what a message asks."""
+    low = F.translate(F.lower(sanitize_query(text)), "ё", "е")
+    return F.slice(F.array_distinct(F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda x: F.length(x) >= 3)), 1, most)
+
+
+def stem(token: Column) -> Column:
+    """The prefix by which an inflected word is found: four characters of five, two fewer of more."""
+    n = F.length(token)
+    return F.when(n <= 4, token).when(n == 5, F.substring(token, 1, 4)).otherwise(F.left(token, n - 2))
+
+
+def matched_tokens(content: Column, tokens: Column) -> Column:
+    """How many of the tokens have a word of the content that starts with their stem."""
+    low = F.filter(F.split(F.translate(F.lower(content), "ё", "е"), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) >= 3)
+    return F.size(F.filter(tokens, lambda x: F.exists(low, lambda w: w.startswith(stem(x)))))
+
+
+def verdict_pieces(name: Column) -> Column:
+    """Distinct lower-cased pieces of two characters or more at separators and from lower to upper case; acronyms stay whole."""
+    spaced = F.lower(F.regexp_replace(name, "(?<=[a-z])(?=[A-Z])", " "))
+    return F.array_distinct(F.filter(F.split(spaced, r"[:._\s-]+"), lambda x: F.length(x) >= 2))

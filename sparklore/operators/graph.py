@@ -169,3 +169,17 @@ def subsystems(file_edges: DataFrame) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of ``edges`` (a, b): the least node reachable, by spreading labels and jumping to their labels."""
+    links = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    roots = cut(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    while True:
+        heard = links.join(roots, links["b"] == roots["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("_heard"))
+        told = roots.join(heard, "node").select("node", F.col("root").alias("_old"), F.least("root", "_heard").alias("_root"))
+        jump = roots.select(F.col("node").alias("_root"), F.col("root").alias("_next"))
+        new = cut(told.join(jump, "_root", "left").select("node", "_old", F.least("_root", F.coalesce("_next", "_root")).alias("root")))
+        if new.filter("_old <> root").isEmpty():
+            return new.select("node", "root")
+        roots = new.select("node", "root")

@@ -22,11 +22,6 @@ def effective_score(importance: Column, access: Column, last: Column, now: str,
     return F.round(F.greatest(F.lit(0.0), F.least(importance, F.lit(5.0))) / 5 + F.least(0.03 * access, F.lit(1.0)) - decay, 6)
 
 
-def age_bucket(last: Column, now: str) -> Column:
-    days = F.floor((F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(last)) / 86400)
-    return F.when(days <= 7, "fresh").when(days <= 30, "recent").when(days <= 90, "aging").otherwise("stale")
-
-
 def curate_stale(memories: DataFrame, now: str, days: int = 90, importance: float = 2) -> DataFrame:
     """Active records to archive for age: idle and unimportant."""
     idle = F.floor((F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("last_accessed_at")) / 86400)
@@ -144,3 +139,10 @@ def nearest_same_project(vectors: DataFrame, threshold: float = 0.12) -> DataFra
         return pd.DataFrame(rows, columns=["label", "a", "b", "distance"])
 
     return vectors.select("label", "vec_id", "embedding").groupBy("label").applyInPandas(nearest, "label int, a long, b long, distance double")
+
+
+def hint_ledger(asked: DataFrame, most: int = 8) -> DataFrame:
+    """(session, symbol, first_at) of the hints to give: the first ``most`` distinct symbols of each session in (session, symbol, at)."""
+    first = asked.groupBy("session", "symbol").agg(F.min("at").alias("first_at"))
+    place = F.row_number().over(Window.partitionBy("session").orderBy("first_at", "symbol"))
+    return first.withColumn("_n", place).filter(F.col("_n") <= most).drop("_n")

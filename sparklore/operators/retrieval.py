@@ -110,3 +110,10 @@ def check_exists(names: DataFrame, query: str) -> DataFrame:
     best = hits.orderBy("priority", F.col("overlap").desc(), "name", "path").limit(1).select("verdict", "confidence", F.col("name").alias("evidence"))
     nothing = names.sparkSession.range(1).select(F.lit("absent").alias("verdict"), F.lit(0.65).alias("confidence"), F.lit(None).cast("string").alias("evidence"))
     return best.withColumn("_o", F.lit(0)).unionByName(nothing.withColumn("_o", F.lit(1))).orderBy("_o").limit(1).drop("_o")
+
+
+def fit_dim(vector: Column, n: int) -> Column:
+    """The first ``n`` dimensions, at unit length; a zero vector stays."""
+    cut_off = F.transform(F.slice(vector, 1, n), lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(cut_off, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(norm == 0, cut_off).otherwise(F.transform(cut_off, lambda x: x / norm))

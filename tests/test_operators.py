@@ -128,7 +128,7 @@ def test_identifiers_and_secrets(spark):
         T.search_text(F.lit("parseBody parse")).alias("search"),
     ).first()
     assert row.parts == ["HTTP", "Server", "Foo", "Bar", "parse", "v2"]
-    assert "hunter2x" not in row.clean and "cfg.api_key" in row.clean and "ghp_" not in row.clean and "https://u:[redacted:url-password]@h/" in row.clean
+    assert "hunter2x" not in row.clean and "cfg.api_key" in row.clean and "ghp_" not in row.clean and "https://u:[REDACTED:url-password]@h/" in row.clean
     assert row.search == "parseBody parse Body"
 
 
