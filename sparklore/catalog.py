@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -305,11 +303,6 @@ def hubs(t):
     return R.top(t["v_calls"].join(production, "src_id", "left_semi").groupBy(F.col("dst_id").alias("id")).agg(F.count(F.lit(1)).alias("callers")), 50, F.desc("callers"), F.col("id"))
 
 
-@query()
-def minhash_similar(t):
-    return R.similar(R.minhash(t["documents"], "doc_id", "text"), "doc_id", 5, 20)
-
-
 SCORE = f"round(greatest(0.0, least(importance, 5.0)) / 5 + least(0.03 * access_count, 1.0) - CASE WHEN importance >= 5 OR last_accessed_at IS NULL THEN 0.0 ELSE least(0.005 * greatest(0.0, epoch(TIMESTAMP '{NOW}' - date_trunc('second', last_accessed_at)) / 3600.0), 0.5) END, 6)"
 
 
@@ -430,16 +423,10 @@ def embed_cache_misses(t):
     return pending.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("SELECT 'exact' AS verdict, CAST(0.92 AS DOUBLE) AS confidence, name AS evidence FROM v_functions WHERE id = 100")
-def check_exists(t):
-    name = t["v_functions"].filter(f"id = {SYMBOL_ID}").first()["name"]
-    return R.check_exists(t["v_functions"], name)
-
-
 @query("SELECT user_id, max({'t': ts, 'e': event_id}).e AS event_id FROM events GROUP BY user_id")
 def stream_upsert(t):
     """Events as a stream of file changes, merged batch by batch: the newest event of every user."""
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparklore-stream-")
+    base = G.shared_folder(t.spark)
     schema = t["events"].schema
     stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
     import uuid
@@ -462,4 +449,4 @@ def run_outcomes(t):
 
 
 
-from . import catalog_code, catalog_memory  # noqa: E402, F401
+from . import catalog_code, catalog_memory, catalog_search  # noqa: E402, F401

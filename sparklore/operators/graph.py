@@ -3,22 +3,32 @@
 from __future__ import annotations
 
 import itertools
+import re
 import tempfile
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Confidence by the way an edge resolved.
 QUALIFIED_ONE, QUALIFIED_MANY, BARE_ONE, BARE_MANY, UNRESOLVED = 0.9, 0.7, 0.6, 0.4, 0.3
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only in local mode without it."""
+    sc = spark.sparkContext
+    configured = sc.getConf().get("spark.checkpoint.dir")
+    if configured is None and sc.getCheckpointDir() is None and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparklore-"))
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="sparklore-"))
+    return configured or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with files in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
