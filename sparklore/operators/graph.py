@@ -74,18 +74,16 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFr
 
 
 def shortest_path(edges: DataFrame, start: int | str, goal: int | str, depth: int) -> DataFrame:
-    """(step, node) of one shortest path; no rows where none is within ``depth``. Looks up one predecessor at a time."""
-    spark = edges.sparkSession
+    """(step, node) of one shortest path; no rows where none is within ``depth``. Predecessors are joined level by level."""
     kind = dict(edges.dtypes)["src"]
-    levels = cut(walk(edges, spark.range(1).select(F.lit(start).cast(kind).alias("node")), depth))
-    path, node = [], goal
-    while node is not None:
-        row = levels.filter(F.col("node") == node).first()
-        if row is None:
+    levels = cut(walk(edges, edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node")), depth))
+    step = path = levels.filter(F.col("node") == goal)
+    for _ in range(depth):
+        step = cut(levels.join(step.filter("pred is not null").select(F.col("pred").alias("node")), "node", "left_semi"))
+        if step.isEmpty():
             break
-        path.append((row["depth"], node))
-        node = row["pred"]
-    return spark.createDataFrame(path[::-1], f"step int, node {kind}")
+        path = path.unionByName(step)
+    return path.select(F.col("depth").alias("step"), "node").orderBy("step")
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame, iterations: int = 100, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
