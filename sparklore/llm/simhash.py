@@ -49,6 +49,8 @@ PARTS = 16
 #: Rows that are held against each other in a task; rows of a larger bucket that every one of its blocks meets.
 TRIED = 1024
 PIVOTS = 8
+#: Links that one task connects at most.
+ONE_TASK = 200_000
 SECOND_SALT = 0xD1B54A32D192ED03
 
 
@@ -283,24 +285,30 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, levels:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node in ``edges`` (a, b): alternating large and small stars until nothing changes."""
+    """(node, root) of every node in ``edges`` (a, b): alternating large and small stars until nothing changes.
+
+    Up to ONE_TASK links, a few megabytes, take their rounds in one task, without a shuffle; more are shuffled.
+    """
     both = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    few = both.count() <= ONE_TASK
+    pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+    both_ways = lambda df, *pairs: df.select(F.explode(F.array(*pairs)).alias("e")).select("e.u", "e.v")
     before = None
     while True:
+        both = both.coalesce(1) if few else both
         # large star: neighbours above u hang on the least of u and its neighbours
-        around = both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        around = both_ways(both, pair("u", "v"), pair("v", "u"))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = around.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star: neighbours below u, and u, hang on the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        both = checkpointed(small)
+        small_star = both_ways(large.join(low, "u"), pair("v", "m"), pair("u", "m")).filter("u <> v").distinct()
+        both = checkpointed(small_star)
         state = both.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    roots = both.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(both.select(F.col("v"), F.col("v"))).distinct()
+    return both_ways(both, pair("u", "v"), pair("v", "v")).distinct().toDF("node", "root")
 
 
 def part_prints(shingles: np.ndarray, similarity: float) -> np.ndarray:
