@@ -43,15 +43,19 @@ def similar_pairs(memories: DataFrame, threshold: float = 0.8, key: str = "doc_i
     """(scope, a, b, jaccard) of all pairs in a scope at or above ``threshold``, exactly, by prefix filtering.
 
     Tokens go by rising frequency; a pair that similar shares a token in each one's first |x| - ceil(t |x|) + 1 tokens, so only
-    those are joined. Equal token sets stand in as one row, that of the least key; ``class_members`` tells whom it stands for.
+    those are joined, and only where their places leave room for enough more. Equal token sets stand in as one row, that of the least key; ``class_members`` tells whom it stands for.
     """
     classes = _tokenised(memories, key, scope, text).groupBy(scope, "tokens").agg(F.min(key).alias("a"))
     frequency = classes.select(scope, F.explode("tokens").alias("token")).groupBy(scope, "token").agg(F.count(F.lit(1)).alias("df"))
     exploded = classes.select(scope, "a", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(frequency, [scope, "token"])
     place = F.row_number().over(Window.partitionBy(scope, "a").orderBy("df", "token"))
-    prefix = exploded.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1).select(scope, "a", "n", "token")
-    other = prefix.select(scope, F.col("a").alias("b"), F.col("n").alias("m"), "token")
-    candidates = prefix.join(other, [scope, "token"]).filter((F.col("a") < F.col("b")) & (F.col("m") >= threshold * F.col("n")) & (F.col("n") >= threshold * F.col("m"))).select(scope, "a", "b").distinct()
+    prefix = cut(exploded.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1).select(scope, "a", "n", "place", "token"))
+    other = prefix.select(scope, F.col("a").alias("b"), F.col("n").alias("m"), F.col("place").alias("other_place"), "token")
+    sizes = (F.col("a") < F.col("b")) & (F.col("m") >= threshold * F.col("n")) & (F.col("n") >= threshold * F.col("m"))
+    # at the first token that a pair shares, only what follows it in both can be shared too
+    room = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("other_place")) + 1
+    enough = room >= F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("m")) - 1e-9
+    candidates = prefix.join(other, [scope, "token"]).filter(sizes & enough).select(scope, "a", "b").distinct()
     left = classes.select(scope, "a", F.col("tokens").alias("ta"))
     right = classes.select(scope, F.col("a").alias("b"), F.col("tokens").alias("tb"))
     both = candidates.join(left, [scope, "a"]).join(right, [scope, "b"])
