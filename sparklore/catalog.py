@@ -366,12 +366,13 @@ def salient_tokens(t):
     return t["conversations"].select("conv_id", "turn", T.salient_tokens(F.col("text")).alias("tokens"))
 
 
-@query()
+@query(r"""SELECT id, list_filter(string_split_regex(regexp_replace(regexp_replace(concat(name, 'HTTPServerFoo'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[_\-. ]+'), lambda x: x <> '') AS pieces FROM v_functions""")
 def split_identifiers(t):
     return t["v_functions"].select("id", T.split_identifier(F.concat(F.col("name"), F.lit("HTTPServerFoo"))).alias("pieces"))
 
 
-@query()
+@query(r"""WITH q AS (SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS q FROM conversations), s AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(q, '([.!?？])', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'), ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS s FROM q)
+SELECT conv_id, turn, CASE WHEN length(q) <= 200 THEN q ELSE left(coalesce(list_filter(s, lambda x: (contains(x, '?') OR contains(x, '？')) AND length(x) >= 5)[1], list_filter(s, lambda x: length(x) >= 10)[-1], q), 300) END AS query FROM s""")
 def sanitize_queries(t):
     return t["conversations"].select("conv_id", "turn", T.sanitize_query(F.col("text")).alias("query"))
 

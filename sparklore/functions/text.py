@@ -73,8 +73,9 @@ def curation_tokens(text: Column) -> Column:
 
 def sanitize_query(text: Column) -> Column:
     """A short query passes; of a long one the first question, else the last sentence, else the head, 300 characters at most."""
-    query = F.trim(text)
-    sentences = F.filter(F.transform(F.split(query, r"(?<=[.!?？])|\n"), lambda s: F.trim(F.regexp_replace(s, "<[^>]*>", ""))), lambda s: s != "")
+    blank = F.lit(" \t\n\r")
+    query = F.btrim(text, blank)
+    sentences = F.filter(F.transform(F.split(query, r"(?<=[.!?？])\n?|\n"), lambda s: F.btrim(F.regexp_replace(s, "<[^>]*>", ""), blank)), lambda s: s != "")
     question = F.get(F.filter(sentences, lambda s: (F.contains(s, F.lit("?")) | F.contains(s, F.lit("？"))) & (F.length(s) >= 5)), F.lit(0))
     longer = F.filter(sentences, lambda s: F.length(s) >= 10)
     last = F.get(longer, F.size(longer) - 1)

@@ -276,3 +276,33 @@ def curate(notes: DataFrame, now: str, threshold: float = 0.8, stale_days: int =
     idle = F.floor((F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("last_accessed_at")) / 86400)
     stale = rows.filter((F.col("importance") <= stale_importance) & (idle >= stale_days)).join(double, "id", "left_anti")
     return double.select("id", F.lit("duplicate").alias("reason"), "kept").unionByName(stale.select("id", F.lit("stale").alias("reason"), F.lit(None).cast("string").alias("kept")))
+
+
+def recall(notes: DataFrame, project: str, query: str, now: str, limit: int = 3, budget: int = 1200, excluded: tuple[str, ...] = (), candidates: int = 40, floor: float = 5.0) -> DataFrame:
+    """(id, score) of what a host is reminded of: records of the project that hold at least two of the query's words by their stems (half
+    of them, if that is more) and score ``floor`` or more, no drafts and no plain remarks, best first; whole records up to ``budget`` characters, one that does not
+    fit is skipped. Less than two words ask for nothing."""
+    from ..functions import text as T
+
+    spark = notes.sparkSession
+    asked = spark.range(1).select(F.filter(T.query_tokens(F.lit(query)), lambda x: ~x.isin(*T.STOP_WORDS)).alias("t")).first()["t"]
+    empty = spark.createDataFrame([], "id string, score double")
+    if len(asked) < 2:
+        return empty
+    kept = notes.filter((F.col("project") == project) & (F.col("status") == "active") & ~F.col("id").isin(list(excluded) or [""]))
+    noise = F.exists(tag_list(F.col("tags")), lambda x: (x == "auto-session") | x.startswith("sid:")) | ((F.col("importance") < 2) & (F.col("category") == "general"))
+    stems = [spark.range(1).select(T.stem(F.lit(x)).alias("s")).first()["s"] for x in asked]  # sixteen at most
+    found = R.top(R.bm25(kept, "id", "content", stems, prefix=True), candidates, F.desc("score"), F.col("id")).filter(F.col("score") >= floor)
+    need = max(2, (len(asked) + 1) // 2)
+    eligible = kept.filter(~noise & (T.matched_tokens(F.col("content"), F.array(*map(F.lit, asked))) >= need)).select("id", F.length("content").alias("n"))
+    ranked = found.join(eligible, "id")
+    state = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("ids"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = (acc["used"] + x["n"] <= budget) & (F.size(acc["ids"]) < limit)
+        return F.struct(F.when(fits, acc["used"] + x["n"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["ids"], F.array(x["id"]))).otherwise(acc["ids"]).alias("ids"))
+
+    # at most ``candidates`` rows are gathered
+    rows = ranked.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "id", "n"))).alias("rows"))
+    chosen = rows.select(F.explode(F.aggregate("rows", state, step, lambda acc: acc["ids"])).alias("id"))
+    return ranked.join(chosen, "id").select("id", "score").orderBy(F.desc("score"), "id")

@@ -376,3 +376,13 @@ def test_words_and_stems(spark):
         T.verdict_pieces(F.lit("calendarSync::HTTPServer_v2 x")).alias("v"),
     ).first()
     assert (row.n, row.p, row.t, row.o) == (2, "first line", "abc…", "a b c") and sorted(row.v) == ["calendar", "httpserver", "sync", "v2"]
+
+
+def test_recall_keeps_whole_records_within_a_budget(spark):
+    rows = [note(1, "the indexer daemon restarts " + "x" * 100, 3.0), note(2, "daemon indexer restarts", 3.0), note(3, "daemon only", 3.0), note(4, "indexers and daemons restart", 0.0, category="general"), note(5, "indexer daemon restart draft", 3.0, tags='["sid:a"]'), note(6, "indexer daemon restarting twice", 3.0)]
+    notes = spark.createDataFrame(rows, NOTE)
+    ask = lambda **more: {r.id for r in N.recall(notes, "p", "why does the indexer daemon restart", "2024-01-03 00:00:00", floor=0.0, **more).collect()}
+    assert ask() == {"mem_1__p", "mem_2__p", "mem_6__p"} and ask(budget=60) == {"mem_2__p", "mem_6__p"}
+    assert len(ask(limit=1)) == 1 and ask(excluded=("mem_2__p",), budget=60) == {"mem_6__p"}
+    assert N.recall(notes, "p", "daemon", "2024-01-03 00:00:00").count() == 0
+    assert N.recall(notes, "p", "why does the indexer daemon restart", "2024-01-03 00:00:00").count() == 0  # so few records give no score of 5
