@@ -254,6 +254,35 @@ def test_shards(docs, rows):
     assert sorted((r.size, r.text_crc32) for r in got) == sorted((len(as_bytes(r[1])) + 8, zlib.crc32(as_bytes(r[1]))) for r in rows)
 
 
+def test_placement_equals_draws_by_hand(spark):
+    """Three weighted draws computed outside Spark, for regular and uneven trees."""
+
+    def mark(*values):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v[0].to_bytes(v[1], "little", signed=True), h)
+        return h
+
+    def least(doc, level, parents, weights):
+        draws = []
+        for k, w in enumerate(weights):
+            h = mark((doc or 0, 8), (int(doc is None), 4), level, *[(p, 4) for p in parents], (k, 4))
+            draws.append((-np.log(((h >> 12) + 0.5) / 2.0**52) / w, k))
+        return min(draws)[1]
+
+    for tree in (shards.HashTree.regular(24), shards.HashTree.regular(25), shards.HashTree((((1.0, 3.0), (2.0,)), ((4.0,), (1.0, 1.0, 1.0))))):
+        starts = [0]
+        for rack in (r for region in tree.weights for r in region):
+            starts.append(starts[-1] + len(rack))
+        ids = [*range(-5, 300), None, 2**62]
+        rows = spark.createDataFrame([(k,) for k in ids], "doc_id long").select("doc_id", shards.place(F.col("doc_id"), tree).alias("shard")).collect()
+        for r in rows:
+            region = least(r.doc_id, b"region", [], [sum(map(sum, x)) for x in tree.weights])
+            rack = least(r.doc_id, b"rack", [region], [sum(x) for x in tree.weights[region]])
+            shard = least(r.doc_id, b"shard", [region, rack], tree.weights[region][rack])
+            assert r.shard == starts[sum(map(len, tree.weights[:region])) + rack] + shard
+
+
 def test_weights_move_rows_only_into_what_grew(spark):
     ids = spark.range(4000).select(F.col("id").alias("doc_id"))
     before = shards.HashTree((((1.0, 1.0), (1.0, 1.0)), ((1.0, 1.0),)))
@@ -355,6 +384,51 @@ def test_pii(spark):
     assert sum(digits[::2]) + sum(sum(divmod(2 * x, 10)) for x in digits[1::2]) and (sum(digits[::2]) + sum(sum(divmod(2 * x, 10)) for x in digits[1::2])) % 10 == 0
 
 
+def test_mentions_of_one_entity_read_alike(spark):
+    texts = ["Mr. Adam Smith wrote to JO@x.com, then Mr Smith called +1 (830) 555-5433.", "Smith? Mr. Smith of jo@x.com is at +18305555433, or 830-555-5433.", "Dr. Anna Berg met John Miller and Sra. Lopez at 12 Baker Street and Hauptstraße 5.", "Mrs. Anna Smith, 4111 1111 1111 1111 and 4111111111111111.", "", None]
+    df = spark.createDataFrame([(k, t, k, "x") for k, t in enumerate(texts)], "doc_id long, text string, n_entities int, _row string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
+    assert set(got[0].asDict()) == {"doc_id", "text", "n_entities_input", "_row", "n_entities", "entity_kinds"} and got[5].text is None and got[4].text == ""
+    spots = ((0, r"Mr\. \w+ (\w+) wrote"), (0, r"Mr (\w+) called"), (1, r"Mr\. (\w+) of"), (3, r"Mrs\. \w+ (\w+),"))
+    names = {re.search(pattern, got[k].text).group(1) for k, pattern in spots}
+    assert len(names) == 1 and names != {"Smith"}
+    mails = [re.search(r"\S+@\S+com", got[k].text).group() for k in (0, 1)]
+    assert mails[0].lower() == mails[1] and mails[0] != mails[1] and mails[1] != "jo@x.com"
+    phones = [re.sub(r"\D", "", x)[-10:] for k in (0, 1) for x in re.findall(r"\+1[ (\d)-]{9,}\d|\d{3}-\d{3}-\d{4}", got[k].text)]
+    assert len(phones) == 3 and len(set(phones)) == 1 and phones[0] != "8305555433" and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[0].text)
+    assert not any(x in got[2].text for x in ("Berg", "Miller", "Lopez", "Baker", "Haupt")) and re.search(r"\d+ \w+ Street and \w+straße \d", got[2].text)
+    cards = [re.sub(r"\D", "", x) for x in re.findall(r"(?:\d{4} ?){4}", got[3].text)]
+    assert len(set(cards)) == 1 and cards[0] != "4111111111111111"
+
+
+def test_pii_equals_a_plain_replacement(spark):
+    """On the driver's documents: the same mentions as plain patterns find in order, text between them untouched, one-to-one surrogates."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    plain = re.compile(r"[\w.]+@[\w.]+\.com|\+1 \(\d{3}\) \d{3}-\d{4}|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])|(?<!\w)\d{16}(?!\w)|(?<!\w)[0-9a-f]{32,64}(?!\w)")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    known, hits = {}, 0
+    for r in pii.pseudonymise(docs, "k").collect():
+        text = before[r.doc_id]
+        found = plain.findall(text or "")
+        assert r.n_entities == len(found), (r.doc_id, found, r.entity_kinds)
+        if not found:
+            assert r.text == text
+            continue
+        gaps, at, rest = plain.split(text), 0, r.text
+        for gap, mention, after in zip(gaps, found, gaps[1:], strict=False):
+            assert rest[at : at + len(gap)] == gap
+            at += len(gap)
+            new = rest[at : at + len(mention)] if "." not in mention or "@" in mention else re.match(r"[\d.]*\d", rest[at:]).group()
+            shape = lambda x: re.sub(r"[a-z]", "a", re.sub(r"\d", "0", x))
+            if not re.fullmatch(r"[0-9a-f]{32,}|[\d.]+", mention):
+                assert shape(new) == shape(mention)
+            assert new != mention and known.setdefault(mention, new) == new
+            at += len(new)
+            hits += 1
+        assert rest[at:] == gaps[-1]
+    assert hits > 30 and len(set(known.values())) == len(known)
+
+
 def test_urls(spark):
     data = [("http://A.com/en/1", "a.com", "/en/1", "com/en/", "block"), ("https://x.example.com/en/7?q#f", "x.example.com", "/en/7", "example.com/en/7", "allow"), ("ftp://e.net/de/9", "e.net", "/de/9", "net/de/", "allow"), ("no scheme", "", "", None, "allow"), (None, "", "", None, "allow"), ("http://www.z.io/p.html?utm_source=1&b=2&a=1#t", "www.z.io", "/p.html", None, "block"), ("http://z.io/q", "z.io", "/q", None, "allow"), ("", "", "", None, "allow")]
     pages = spark.createDataFrame([(k, d[0]) for k, d in enumerate(data)], "page_id long, url string")
