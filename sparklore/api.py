@@ -62,7 +62,7 @@ def tool(name: str, op: str = ""):
     return register
 
 
-def call(store: Store, name: str, op: str = "", **arguments) -> DataFrame:
+def call(store: Store, name: str, op: str = "", /, **arguments) -> DataFrame:
     """The answer of a tool's operation; an argument that it does not take, or lacks, is an error."""
     found = TOOLS.get((name, op))
     if found is None:
