@@ -258,7 +258,7 @@ def previews(t):
 
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[])[1:16] AS e FROM embeddings) SELECT vec_id, list_transform(e, lambda x: round(x / sqrt(list_sum(list_transform(e, lambda y: y * y))), 6)) AS fitted FROM v""")
 def fit_dimensions(t):
-    fitted = F.transform(R.fit_dim(F.col("embedding"), 16), lambda x: F.round(x, 6))
+    fitted = F.transform(R.fit_dim(F.col("embedding"), 16), lambda x: R.round_as_double(x, 6))
     return t["embeddings"].select("vec_id", fitted.alias("fitted"))
 
 

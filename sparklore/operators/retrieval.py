@@ -271,3 +271,12 @@ def fit_dim(vector: Column, n: int) -> Column:
     cut_off = F.transform(F.slice(vector, 1, n), lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(cut_off, F.lit(0.0), lambda s, x: s + x * x))
     return F.when(norm == 0, cut_off).otherwise(F.transform(cut_off, lambda x: x / norm))
+
+
+def round_as_double(x: Column, digits: int) -> Column:
+    """``x`` rounded on its binary value, half away from zero; what rounds to zero keeps its sign (Spark's own round goes by the decimal text
+    and loses the sign)."""
+    scaled = F.abs(x) * 10.0**digits
+    whole = F.floor(scaled).cast("double")
+    rounded = (whole + F.when(scaled - whole >= 0.5, 1.0).otherwise(0.0)) / 10.0**digits
+    return F.when(F.isnan(x) | (scaled >= 2.0**52), x).when((x < 0) | (x.cast("string") == "-0.0"), -rounded).otherwise(rounded)
