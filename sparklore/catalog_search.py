@@ -72,7 +72,8 @@ def semantic_search(t):
 @query()
 def find_similar(t):
     """Functions alike by two MinHash views of their bodies; tested against sets of shingles."""
-    return R.similar_code(R.code_signatures(t["v_bodies"], "id", "body"), "id", 100, 20)
+    bodies = t["v_bodies"]
+    return R.similar_code(R.code_signatures(bodies, "id", "body"), "id", 100, 20, own=R.code_signatures(bodies.filter("id = 100"), "id", "body"))
 
 
 QUESTIONS = ("small_ring_0", "small ring 0 wholly", "metal gear route", "wholly", "the src zzz", "of it", "zzyzx qqq", "/fr/8")

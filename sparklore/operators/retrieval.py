@@ -37,9 +37,13 @@ KEYWORDS = (
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, dl) of every document; one shuffle, partial counts first."""
-    tokens = docs.select(key, T.words(F.col(text)).alias("_w")).withColumn("dl", F.size("_w"))
-    return tokens.select(key, "dl", F.explode("_w").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    """(key, term, tf, dl) of every document, counted in its row without a shuffle: sorted words, and where each run of equal ones starts.
+    A key that occurs in several rows has postings of each."""
+    tokens = docs.select(key, F.explode(F.array(F.array_sort(T.words(F.col(text))))).alias("_w")).filter(F.size("_w") > 0)
+    new = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: (i == 0) | (F.get("_w", i) != F.get("_w", i - 1)))
+    starts = tokens.select(key, "_w", F.size("_w").alias("dl"), F.explode(F.array(new)).alias("_s"))
+    runs = F.transform("_s", lambda s, i: F.struct(F.get("_w", s).alias("term"), (F.coalesce(F.get("_s", i + 1), F.col("dl")) - s).cast("long").alias("tf")))
+    return starts.select(key, "dl", F.explode(runs).alias("_r")).select(key, "_r.term", "_r.tf", "dl")
 
 
 def bm25(docs: DataFrame, key: str, text: str, query: list[str], prefix: bool = False) -> DataFrame:
@@ -92,7 +96,8 @@ class LexicalIndex:
         terms = list(dict.fromkeys(query))
         wanted = self.spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(self.PARTS)).cast("int").alias("p"))
         parts = [r["p"] for r in wanted.distinct().collect()]  # as many as the query has terms
-        hits = self.spark.read.parquet(f"{self.folder}/postings").filter(F.col("part").isin(parts) & F.col("term").isin(terms))
+        found = self.spark.read.parquet(f"{self.folder}/postings").filter(F.col("part").isin(parts) & F.col("term").isin(terms))
+        hits = found.groupBy(key, "term").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
         df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         stats = self.spark.read.parquet(f"{self.folder}/statistics")
         joined = hits.join(F.broadcast(df), "term").join(F.broadcast(stats))  # a row for each term, and one row
@@ -156,17 +161,55 @@ def _mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def fnv1a_many(texts: list[bytes]) -> np.ndarray:
+    """``fnv1a`` of each text, byte by byte over all that are as long."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    order = np.argsort(-sizes, kind="stable")
+    starts, falling = (np.cumsum(sizes) - sizes)[order], -sizes[order]
+    data, state = np.frombuffer(b"".join(texts), np.uint8), np.full(len(texts), 0xCBF29CE484222325, np.uint64)
+    for place in range(-int(falling[0]) if len(texts) else 0):
+        n = int(np.searchsorted(falling, -place))  # texts longer than ``place``
+        state[:n] ^= data[starts[:n] + place]
+        state[:n] *= np.uint64(0x100000001B3)
+    out = np.empty_like(state)
+    out[order] = state
+    return out
+
+
+def _least(values: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The least mixed value for each seed, over blocks that stay in the processor's cache."""
+    least = np.full(len(seeds), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(values), 1024):
+        x = values[at : at + 1024, None] ^ seeds
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        np.minimum(least, x.min(axis=0), out=least)
+    return least
+
+
 def code_signature(code: str, hashes: int = 64) -> list[int]:
     """Two MinHash views of a text's token 3-grams: as written, and with chosen names alike. No tokens: all values are the greatest."""
-    tokens = re.findall(r"\w+|[^\w\s]", code)
-    plain = ["\x02" if (t[0].isalpha() or t[0] == "_") and t.lower() not in KEYWORDS else t for t in tokens]
-    out: list[int] = []
+    return code_signatures_of([code], hashes)[0]
+
+
+def code_signatures_of(codes: list[str], hashes: int = 64) -> list[list[int]]:
+    """``code_signature`` of each text; the grams of all are hashed together."""
     seeds = _mix64(np.arange(hashes, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    for view in (tokens, plain):
-        grams = {"\x01".join(view[i : i + 3]) for i in range(len(view) - 2)} or set(view)
-        values = np.array([fnv1a(g.encode()) for g in grams], np.uint64)
-        out += (_mix64(values[:, None] ^ seeds).min(axis=0) >> np.uint64(32)).tolist() if len(values) else [0xFFFFFFFF] * hashes
-    return out
+    grams: list[bytes] = []
+    ends = [0]
+    alike: dict[str, str] = {}
+    for code in codes:
+        tokens = re.findall(r"\w+|[^\w\s]", code)
+        for t in [t for t in set(tokens) if t not in alike]:
+            alike[t] = "\x02" if (t[0].isalpha() or t[0] == "_") and t.lower() not in KEYWORDS else t
+        for view in (tokens, [alike[t] for t in tokens]):
+            grams += [g.encode() for g in set(map("\x01".join, zip(view, view[1:], view[2:], strict=False))) or set(view)]
+            ends.append(len(grams))
+    values = fnv1a_many(grams)
+    views = [(_least(values[a:b], seeds) >> np.uint64(32)).tolist() if b > a else [0xFFFFFFFF] * hashes for a, b in zip(ends, ends[1:], strict=False)]
+    return [views[i] + views[i + 1] for i in range(0, len(views), 2)]
 
 
 def code_signatures(symbols: DataFrame, key: str, text: str) -> DataFrame:
@@ -174,14 +217,17 @@ def code_signatures(symbols: DataFrame, key: str, text: str) -> DataFrame:
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({key: frame[key], "signature": [code_signature(x or "") for x in frame[text]]})
+            for at in range(0, len(frame), 256):  # so many texts share their hashing
+                part = frame.iloc[at : at + 256]
+                yield pd.DataFrame({key: part[key], "signature": code_signatures_of([x or "" for x in part[text]])})
 
     return symbols.select(key, text).mapInPandas(sign, f"{key} {dict(symbols.dtypes)[key]}, signature array<long>")
 
 
-def similar_code(signatures: DataFrame, key: str, seed: int, n: int, hashes: int = 64) -> DataFrame:
-    """(key, score): the mean of both views' estimates against one symbol, itself and what is not alike left out."""
-    one = signatures.filter(F.col(key) == seed).select(F.col("signature").alias("_q"))
+def similar_code(signatures: DataFrame, key: str, seed: int, n: int, hashes: int = 64, own: DataFrame | None = None) -> DataFrame:
+    """(key, score): the mean of both views' estimates against one symbol, itself and what is not alike left out. ``own`` is the seed's row
+    of ``signatures`` where it can be had without signing the others (a filter does not go down through Python)."""
+    one = (signatures if own is None else own).filter(F.col(key) == seed).select(F.col("signature").alias("_q"))
 
     def view(at: int) -> Column:
         a, b = F.slice("signature", at, hashes), F.slice("_q", at, hashes)
