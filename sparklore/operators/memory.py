@@ -238,9 +238,11 @@ def curate(notes: DataFrame, now: str, threshold: float = 0.8, stale_days: int =
     join, and each connected group of classes is folded in one task without expanding its copies into pairs.
     """
     active = notes.filter((F.col("status") == "active") & ~M.is_always_on(F.col("importance"), tag_list(F.col("tags"))))
-    rows = cut(active.select("id", "project", "content", "importance", "access_count", "created_at", "last_accessed_at", F.dense_rank().over(Window.partitionBy("project").orderBy("id")).cast("long").alias("_key")))
-    members = cut(M.class_members(rows, "_key"))
-    pairs = cut(M.similar_pairs(rows, threshold, "_key"))
+    # numbered as they lie: numbers in order would take a project's records, texts and all, through one task
+    keyed = cut(active.select("id", "project", "importance", "access_count", "created_at", "last_accessed_at", M.token_text(F.col("content")).alias("_t"), F.monotonically_increasing_id().alias("_key")))
+    rows, base = keyed.drop("_t"), keyed.select("project", "_key", "_t").filter("_t <> ''")
+    members = cut(M.members_of(base, "_key", "project"))
+    pairs = cut(M.pairs_of(base, members, threshold, "_key", "project").select("project", "a", "b"))
     name = lambda c: F.concat_ws("\x1f", "project", F.col(c).cast("string"))
     linked = cut(components(pairs.select(name("a").alias("a"), name("b").alias("b"))))
     many = members.groupBy("project", "representative").agg(F.count(F.lit(1)).alias("n"))
