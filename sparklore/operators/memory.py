@@ -274,7 +274,9 @@ def curate(notes: DataFrame, now: str, threshold: float = 0.8, stale_days: int =
                     break
         return pd.DataFrame([(frame["id"][j], frame["id"][i]) for j, i in gone.items()], columns=["id", "kept"])
 
-    double = cut(full.groupBy("project", "group").applyInPandas(fold, "id string, kept string"))
+    # so few bytes would be joined to one task, and the time goes by groups
+    dealt = full.repartition(int(full.sparkSession.conf.get("spark.sql.shuffle.partitions")), "project", "group")
+    double = cut(dealt.groupBy("project", "group").applyInPandas(fold, "id string, kept string"))
     idle = F.floor((F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("last_accessed_at")) / 86400)
     stale = rows.filter((F.col("importance") <= stale_importance) & (idle >= stale_days)).join(double, "id", "left_anti")
     return double.select("id", F.lit("duplicate").alias("reason"), "kept").unionByName(stale.select("id", F.lit("stale").alias("reason"), F.lit(None).cast("string").alias("kept")))
